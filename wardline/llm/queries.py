@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import capping, format_dups, mixing, splits
+from wardline.llm import capping, format_dups, lookalikes, mixing, splits
 from wardline.llm.support import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,18 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dups.distinct_records(table(spark, sf_dir, "combined_dataset").select("row_id", "text", "label"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "combined_dataset").select(F.col("row_id").alias("id"), "text")
+    messages = table(spark, sf_dir, "classifications").select("id", "text")
+    return lookalikes.same_look_pairs(rows, messages).select(F.col("left_id").cast("bigint").alias("row_id"), F.col("right_id").alias("classification_id")).distinct()
+
+
+def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "combined_dataset").select(F.lit("combined_dataset").alias("tab"), F.col("row_id").cast("string").alias("id"), "text")
+    messages = table(spark, sf_dir, "classifications").select(F.lit("classifications").alias("tab"), "id", "text")
+    return lookalikes.consistent(rows.unionByName(messages)).select("tab", "id", "form")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "combined_dataset").select("row_id", "template_id", "quality")
     return capping.cap_contributors(rows, "template_id", "quality", max_rows=5).where("not keep").select("row_id")

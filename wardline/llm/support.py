@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.session import ship_package
+
 #: Share of all rows from which one key counts as hot. At most 1 / HOT_SHARE keys can be that large.
 HOT_SHARE = 0.001
 
@@ -31,6 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver ends."""
+    ship_package(spark)
     path = f"{shared_folder(spark)}/wardline-{name}-{uuid.uuid4().hex[:12]}"
     atexit.register(_delete, spark, path)
     return path
@@ -54,6 +57,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
