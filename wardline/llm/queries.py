@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import capping, format_dups, lookalikes, mixing, splits
+from wardline.llm import capping, format_dups, lookalikes, mixing, overlap, splits
 from wardline.llm.support import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,17 @@ def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.consistent(rows.unionByName(messages)).select("tab", "id", "form")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "combined_dataset").select("row_id", "text", "split", "source")
+    pairs = overlap.row_pairs(*overlap.overlaps(rows))
+    return pairs.select(F.least("train_id", "eval_id").alias("row_id_a"), F.greatest("train_id", "eval_id").alias("row_id_b")).distinct()
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "combined_dataset").select("row_id", "text", "split", "source")
+    return overlap.overlap_report(*overlap.overlaps(rows))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "combined_dataset").select("row_id", "template_id", "quality")
     return capping.cap_contributors(rows, "template_id", "quality", max_rows=5).where("not keep").select("row_id")
