@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import capping, format_dups, lookalikes, mixing, overlap, splits
+from wardline.llm import capping, format_dups, leakage, lookalikes, mixing, overlap, splits
 from wardline.llm.support import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,5 +80,10 @@ def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(rows.where("template_id is null").select("row_id", "template_id"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return leakage.leaks(documents, table(spark, sf_dir, "holdout_items").select("item_id", "text")).select("doc_id", "item_id")
+
+
 def llm_queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
