@@ -13,7 +13,25 @@ plan AS (
   FROM mix_targets t CROSS JOIN whole LEFT JOIN cells c ON c.cell = {_CELL.replace('source', 't.source')} AND c.label = t.label)
 """
 
+_UUID = "regexp_replace(regexp_replace(lower({0}), '^urn:uuid:|[^0-9a-f]', '', 'g'), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
+_UNSEEN = "[\\p{Z}\\p{Cc}\\p{Cf}\\x{34F}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180F}\\x{2800}\\x{3164}\\x{FFA0}\\x{FE00}-\\x{FE0F}]"
+
+_SESSIONS = f"""
+WITH latest AS (SELECT * FROM classifications QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) = 1),
+m AS (SELECT {_UUID.format('session_id')} AS sid, *,
+             coalesce(regexp_replace(text, '{_UNSEEN}', '', 'g') <> '' AND regexp_replace(reply, '{_UNSEEN}', '', 'g') <> '', false) AS sound FROM latest),
+k AS (SELECT DISTINCT {_UUID.format('id')} AS sid FROM sessions),
+c AS (SELECT sid, bool_and(sound) AS sound FROM m GROUP BY sid)
+"""
+
 LLM_ORACLE_SQL: dict[str, str] = {
+    "p2_found": _SESSIONS + "SELECT coalesce(k.sid, c.sid) AS session_id FROM k FULL JOIN c ON k.sid = c.sid WHERE k.sid IS NULL OR c.sid IS NULL OR NOT c.sound",
+    "p2_conversations": _SESSIONS
+    + """,
+n AS (SELECT m.*, row_number() OVER (PARTITION BY m.sid ORDER BY created_at, id) AS n FROM m JOIN k USING (sid) JOIN c USING (sid) WHERE c.sound)
+SELECT sid AS session_id, CAST(n * 2 - 1 AS INT) AS turn, 'user' AS role, text FROM n
+UNION ALL SELECT sid, CAST(n * 2 AS INT), 'assistant', reply FROM n
+""",
     "p1_found": """
 SELECT template_id FROM (
   SELECT template_id, CASE WHEN s IN ('val', 'valid') THEN 'validation' ELSE s END AS s

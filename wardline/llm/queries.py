@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import capping, format_dups, leakage, lookalikes, mixing, overlap, splits
+from wardline.llm import capping, conversations, format_dups, leakage, lookalikes, mixing, overlap, packing, reading, splits
 from wardline.llm.support import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,14 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(rows, ["template_id"], table(spark, sf_dir, "split_targets"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.dropped_sessions(spark, f"{sf_dir}/classifications.parquet", table(spark, sf_dir, "sessions")).select("session_id")
+
+
+def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversations(spark, f"{sf_dir}/classifications.parquet", table(spark, sf_dir, "sessions"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, sf_dir, "combined_dataset").select("source", "label"), table(spark, sf_dir, "mix_targets"))
     return plan.where("short").select("source", "label")
@@ -80,10 +88,28 @@ def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(rows.where("template_id is null").select("row_id", "template_id"))
 
 
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    return packing.pack(packing.count_tokens(texts), table(spark, sf_dir, "containers")).withColumnRenamed("item_id", "doc_id")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(p8_packing(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return leakage.leaks(documents, table(spark, sf_dir, "holdout_items").select("item_id", "text")).select("doc_id", "item_id")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_levels(spark, sf_dir).where("reading_level = 5").select("doc_id")
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "doc_type")
+    return reading.reading_levels(documents, table(spark, sf_dir, "reading_labels").select("doc_id", "reading_level"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
