@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from wardline.functions import lexicon as lx
 
@@ -30,7 +31,7 @@ def decode_base64(text: Column) -> Column:
     return F.when(text.rlike(lx.BASE64_RUN), joined).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition; ASCII texts pass untouched."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))

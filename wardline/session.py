@@ -24,6 +24,18 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """A folder for checkpoints: the session's, or one of our own where a local session names none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="wardline-checkpoints-")
+            atexit.register(shutil.rmtree, named, True)
+        spark.sparkContext.setCheckpointDir(named)
+
+
 def build_session(cores: int = 8, memory: str = "8g", app: str = "wardline", **conf: str) -> SparkSession:
     """A local session as tests and the bench use it; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
