@@ -81,6 +81,18 @@ def keyword_features(decoded: Column) -> dict[str, Column]:
     return {"f01": c["override"], "f02": c["role_swap"] + c["act_as"] + c["harmful_role"], "f03": c["exfil"], "f04": c["filter_bypass"], "f21": c["narrative"], "hard_hits": c["override"] + c["act_as"] + c["harmful_role"] + c["filter_bypass"]}
 
 
+def _after(order: int, label: str):
+    """One step along a text's gaps and matches: where it ends, and the matches so far."""
+
+    def step(acc: Column, pair: Column) -> Column:
+        at = acc["at"] + F.length(pair["gap"])
+        end = at + F.coalesce(F.length(pair["hit"]), F.lit(0))
+        more = F.array(F.struct(at.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(label).alias("label")))
+        return F.struct(end.alias("at"), F.when(pair["hit"].isNotNull(), F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
+
+    return step
+
+
 def spans(decoded: Column) -> Column:
     """ARRAY<STRUCT<start, end, label>>, offsets in characters of the decoded text, by start, then group order."""
     found = []
@@ -90,15 +102,9 @@ def spans(decoded: Column) -> Column:
         gaps = F.split(decoded, pattern, -1)
         start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,`order`:int,end:int,label:string>>)").alias("out"))
 
-        def step(acc: Column, pair: Column, order: int = order, label: str = label) -> Column:
-            at = acc["at"] + F.length(pair["gap"])
-            end = at + F.coalesce(F.length(pair["hit"]), F.lit(0))
-            more = F.array(F.struct(at.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(label).alias("label")))
-            return F.struct(end.alias("at"), F.when(pair["hit"].isNotNull(), F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
-
         pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
         none = F.expr("cast(array() as array<struct<start:int,`order`:int,end:int,label:string>>)")
-        found.append(F.when(decoded.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none))
+        found.append(F.when(decoded.rlike(pattern), F.aggregate(pairs, start, _after(order, label), lambda acc: acc["out"])).otherwise(none))
     listed = F.array_sort(F.concat(*found))
     return F.transform(listed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")))
 

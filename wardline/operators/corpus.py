@@ -100,7 +100,7 @@ def histogram(rows: DataFrame, value: Column, by: str, bins: int = 60) -> DataFr
 
 def script_of(ch: Column) -> Column:
     """The script block of a character; the first matching range counts."""
-    cp = F.conv(F.hex(F.encode(ch, "UTF-32BE")), 16, 10).cast("bigint")
+    cp = F.ascii(ch)  # the code point of the first character, in Spark
     ranges = [("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("hangul", 0xAC00, 0xD7AF), ("kana", 0x3040, 0x30FF), ("cjk", 0x4E00, 0x9FFF)]
     return F.coalesce(*[F.when(cp.between(lo, hi), name) for name, lo, hi in ranges], F.lit("other"))
 

@@ -91,7 +91,8 @@ def feat_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matches(group: str) -> str:
-    return f"len(regexp_extract_all(text, {_lit('(?i)' + lx.alternation(group))}))"
+    pattern = lx.alternation(group).replace("\\s+", f"[{_SPACE}]+").replace("\\s*", f"[{_SPACE}]*")
+    return f"len(regexp_extract_all(text, {_lit('(?i)' + pattern)}))"
 
 
 @query(f"""

@@ -139,7 +139,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
 
 
-_R = "WITH q AS (SELECT event_id AS request_id, user_id AS key, epoch_ms(ts) AS ms FROM events)"
+_R = "WITH q AS (SELECT event_id AS request_id, user_id AS key, epoch_us(ts) // 1000 AS ms FROM events)"
 
 
 @query(_R + """, d AS (SELECT key, ms, count(*) OVER (PARTITION BY key ORDER BY ms RANGE BETWEEN 3599999 PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT key, ms FROM q))
