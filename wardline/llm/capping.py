@@ -7,7 +7,7 @@ histogram, over quality and, among equal qualities, over the id, until it is sma
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.support import cut, keyed_join
@@ -18,15 +18,19 @@ RANK_ROWS = 200_000
 LEVELS = 12
 
 
-def _finite(score):
-    return F.when(F.isnan(score), None).otherwise(score)
+#: Stands for an infinite score while scores are placed in bins.
+FAR = 1.7e308
+
+
+def _finite(score: Column) -> Column:
+    return F.when(F.isnan(score), None).when(score > FAR, FAR).when(score < -FAR, -FAR).otherwise(score)
 
 
 def _place(rows: DataFrame, span: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their bin (higher is better), and the histogram. span: per key the range of score and id and the count."""
     by_score = F.col("s_lo") < F.col("s_hi")
-    width = F.greatest((F.col("s_hi") - F.col("s_lo")) / BINS, F.lit(1e-300))
-    score_bin = F.when(F.col("score").isNull(), -1).otherwise(F.least(F.floor((F.col("score") - F.col("s_lo")) / width), F.lit(BINS)))
+    width = F.greatest(F.col("s_hi") / BINS - F.col("s_lo") / BINS, F.lit(1e-300))
+    score_bin = F.when(F.col("score").isNull(), -1).otherwise(F.greatest(F.least(F.floor(F.col("score") / width - F.col("s_lo") / width), F.lit(BINS)), F.lit(0)))
     step = F.greatest(F.ceil((F.col("i_hi") - F.col("i_lo") + 1) / BINS), F.lit(1))
     id_bin = F.when(F.col("score").isNull() & F.col("s_hi").isNotNull(), -BINS - 2).otherwise(-F.floor((F.col("row_id") - F.col("i_lo")) / step))
     placed = keyed_join(rows, span, ["key"], "size", total).withColumn("bin", F.when(by_score, score_bin).otherwise(id_bin).cast("bigint"))
@@ -41,8 +45,7 @@ def _cutoffs(histogram: DataFrame) -> DataFrame:
 
 
 def _span(rows: DataFrame) -> DataFrame:
-    finite = F.when(F.abs("score") < F.lit(float("inf")), F.col("score"))
-    return rows.groupBy("key").agg(F.min(finite).alias("s_lo"), F.max(finite).alias("s_hi"), F.min("row_id").alias("i_lo"), F.max("row_id").alias("i_hi"), F.max("need").alias("need"), F.count("*").alias("size"))
+    return rows.groupBy("key").agg(F.min("score").alias("s_lo"), F.max("score").alias("s_hi"), F.min("row_id").alias("i_lo"), F.max("row_id").alias("i_hi"), F.max("need").alias("need"), F.count("*").alias("size"))
 
 
 def cap_contributors(rows: DataFrame, key_col: str, score_col: str, id_col: str = "row_id", max_rows: int | None = None, max_share: float | None = None) -> DataFrame:
@@ -50,7 +53,7 @@ def cap_contributors(rows: DataFrame, key_col: str, score_col: str, id_col: str
 
     The cap is max_rows, or max_share of all rows that have a contributor, or the smaller of both. Rows rank by score
     from high to low, null and NaN last, ties by smaller id. Rows without contributor are not capped and do not come
-    out here. Infinite scores rank as such. Ids are integers; with repeated ids the order among them is arbitrary.
+    out here. Infinite scores rank as such and come out as the largest that are placed, FAR. Ids are integers; with repeated ids the order among them is arbitrary.
     """
     own = rows.where(F.col(f"`{key_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("bigint").alias("row_id"), F.col(f"`{key_col}`").alias("key"), _finite(F.col(f"`{score_col}`").cast("double")).alias("score"))
     total = own.count()

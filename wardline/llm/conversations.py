@@ -22,6 +22,8 @@ from wardline.session import ship_package
 LATENESS = "3 days"
 IDLE_MS = 60 * 60 * 1000
 PART = "HOUR"
+#: Rows of a session up to which they are numbered in one window.
+HOT_ROWS = 100_000
 MESSAGE_SCHEMA = "id STRING, session_id STRING, created_at TIMESTAMP, text STRING, verdict STRING, confidence DOUBLE, attack_family STRING, family_scores STRING, model_version STRING, reply STRING, ingested_at TIMESTAMP"
 _STATE = "ids array<string>, created array<timestamp>, arrived array<timestamp>, texts array<string>, replies array<string>, sound array<boolean>, last long"
 _OUT = "session_id string, id string, created_at timestamp, ingested_at timestamp, text string, reply string, sound boolean"
@@ -109,7 +111,7 @@ def numbered(rows: DataFrame, key: str, order: list[str], total: int) -> DataFra
     Small keys are numbered in a window each. A key with more than HOT_SHARE of all rows is range-partitioned: its rows
     are numbered within partitions, and each partition adds the counts of those before it.
     """
-    limit = max(100_000, int(total * HOT_SHARE))
+    limit = max(HOT_ROWS, int(total * HOT_SHARE))
     hot = F.broadcast(cut(rows.groupBy(key).agg(F.count("*").alias("size")).where(F.col("size") > limit).select(key), "p2-hot"))
     small = rows.join(hot, key, "left_anti").withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     ranged = cut(rows.join(hot, key).repartitionByRange(key, *order).withColumn("at", F.spark_partition_id()), "p2-ranged")

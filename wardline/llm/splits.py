@@ -90,8 +90,10 @@ def _claims(rows: DataFrame, key_cols: list[str], comps: DataFrame) -> tuple[Dat
 def conflicts(rows: DataFrame, key_cols: list[str], split_col: str = "split", store: DataFrame | None = None) -> DataFrame:
     """Quarantined components: node, comp, splits, for components whose rows or history stand in several splits."""
     given = rows.withColumn("given", split_name(F.col(f"`{split_col}`"))).select(*[F.col(f"`{k}`") for k in key_cols], "given")
-    _, claims = _claims(given, key_cols, components(given, key_cols, store))
-    return claims.where(F.size("splits") > 1).select("node", "comp", "splits")
+    comps = cut(components(given, key_cols, store), "p1-comps")
+    _, claims = _claims(given, key_cols, comps)
+    bad = claims.where(F.size("splits") > 1).select("comp", "splits").distinct()
+    return comps.select("node", "comp").join(bad, "comp").select("node", "comp", "splits")
 
 
 def _cases(wanted: list[tuple[str, Column]], u: Column) -> Column:
