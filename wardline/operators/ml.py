@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.features import vector_columns, with_features
 from wardline.operators import metrics
-from wardline.session import ensure_checkpoints
+from wardline.session import materialised
 
 # The families that clusters are named by, with the features that speak for each, and the score of the
 # family no feature speaks for.
@@ -33,9 +33,8 @@ NO_FEATURE_SCORE = 0.001
 
 def labelled_vectors(rows: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """rows with features, the 21 as a vector, and weight, which balances the classes. Cut, as every model reads it."""
-    ensure_checkpoints(rows.sparkSession)
     featured = VectorAssembler(inputCols=vector_columns(), outputCol="features").transform(with_features(rows, text))
-    slim = featured.select(*rows.drop(text).columns, "features").checkpoint()
+    slim = materialised(featured.select(*rows.drop(text).columns, "features"))
     counts = slim.groupBy(label).agg(F.count("*").alias("_c"))
     weights = counts.select(label, (F.sum("_c").over(Window.partitionBy()) / (2 * F.col("_c"))).alias("weight"))
     return slim.join(F.broadcast(weights), label)
@@ -70,7 +69,7 @@ def fourier_features(data: DataFrame, size: int = 256, gamma: float | None = Non
 
 def kernel_svm(data: DataFrame, label: str = "label", size: int = 64, seed: int = 42) -> DataFrame:
     """data with p: a linear machine on Fourier features, its margin calibrated by a logistic regression."""
-    mapped = fourier_features(data, size, seed=seed).checkpoint()
+    mapped = materialised(fourier_features(data, size, seed=seed))
     margins = LinearSVC(featuresCol="fourier", labelCol=label, weightCol="weight", maxIter=50, regParam=0.001).fit(mapped).transform(mapped)
     scored = margins.withColumn("margin", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
     one = VectorAssembler(inputCols=["margin"], outputCol="m").transform(scored)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -36,6 +37,15 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named)
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """df as a table written to the checkpoint folder: ends the lineage, and the plan's guesses of its size."""
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def build_session(cores: int = 8, memory: str = "8g", app: str = "wardline", **conf: str) -> SparkSession:
     """A local session as tests and the bench use it; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
