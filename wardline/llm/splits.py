@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from wardline.llm.mixing import source_name
 from wardline.llm.support import HOT_SHARE, cut, keyed_join, unit_interval
 
+#: White space that may surround a split's name.
+BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u2002\u2003\u2009\u202f\u3000"
 STORE_SCHEMA = "node STRING, comp STRING, split STRING"
 
 
 def split_name(split: Column) -> Column:
     """A split as delivered, without regard to letter case and outer white space; val means validation."""
-    bare = F.regexp_replace(F.lower(split), r"^\s+|\s+$", "")
+    bare = F.trim(F.lower(split), F.lit(BLANKS))
     return F.when(bare.isin("val", "valid"), "validation").when(bare == "", None).otherwise(bare)
 
 
