@@ -15,14 +15,30 @@ from wardline.functions import lexicon as lx
 from wardline.functions.normalize import normalized
 
 WORD = r"[\p{L}\p{N}_]+"
+#: Of each phrase group, literals of which every match holds at least one: a text without any is not searched further.
+LITERALS = {
+    "override": "ignore disregard forget override bypass instructions pretend simulation decode",
+    "role_swap": "you pretend play switch now",
+    "act_as": "act dan jailbroken dude stan kevin evil chaos abide broken has have without",
+    "harmful_role": "rob thief burglar mugger carjacker pickpocket shoplifter criminal murder kill hitman assassin terrorist bomb extremist jihadist hack cracker drug meth arms rapist offender molester predator groomer scammer fraudster artist stab shoot poison blow steal traffick synthesize",
+    "exfil": "give tell show reveal share send output print display key secret password credential token confidential data information records details spill prompt instruction code",
+    "filter_bypass": "bypass jailbreak restrict limit mode dan safety filter guardrail rule",
+    "narrative": "game hypothetically scenario story roleplay world universe rule conversation everything",
+}
 
 
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
+def may_match(text: Column, group: str) -> Column:
+    """False for a text that cannot hold a phrase of the group."""
+    low = F.translate(F.lower(text), "ſ", "s")
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in LITERALS[group].split()])
+
+
 def phrase_count(text: Column, group: str) -> Column:
-    return _count(text, f"(?iU){lx.alternation(group)}")
+    return F.when(may_match(text, group), _count(text, f"(?iU){lx.alternation(group)}")).otherwise(0.0)
 
 
 def char_count(text: Column, chars: str) -> Column:
@@ -104,7 +120,7 @@ def spans(decoded: Column) -> Column:
 
         pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
         none = F.expr("cast(array() as array<struct<start:int,`order`:int,end:int,label:string>>)")
-        found.append(F.when(decoded.rlike(pattern), F.aggregate(pairs, start, _after(order, label), lambda acc: acc["out"])).otherwise(none))
+        found.append(F.when(may_match(decoded, group) & decoded.rlike(pattern), F.aggregate(pairs, start, _after(order, label), lambda acc: acc["out"])).otherwise(none))
     listed = F.array_sort(F.concat(*found))
     return F.transform(listed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")))
 

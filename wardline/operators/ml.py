@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.features import vector_columns, with_features
 from wardline.operators import metrics
-from wardline.session import materialised
+from wardline.session import materialised, spread
 
 # The families that clusters are named by, with the features that speak for each, and the score of the
 # family no feature speaks for.
@@ -33,7 +33,7 @@ NO_FEATURE_SCORE = 0.001
 
 def labelled_vectors(rows: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """rows with features, the 21 as a vector, and weight, which balances the classes. Cut, as every model reads it."""
-    featured = VectorAssembler(inputCols=vector_columns(), outputCol="features").transform(with_features(rows, text))
+    featured = VectorAssembler(inputCols=vector_columns(), outputCol="features").transform(with_features(spread(rows), text))
     slim = materialised(featured.select(*rows.drop(text).columns, "features"))
     counts = slim.groupBy(label).agg(F.count("*").alias("_c"))
     weights = counts.select(label, (F.sum("_c").over(Window.partitionBy()) / (2 * F.col("_c"))).alias("weight"))

@@ -10,6 +10,7 @@ from wardline.functions import lexicon as lx
 from wardline.functions import normalize as nz
 from wardline.functions import rules
 from wardline.plans.registry import query, table
+from wardline.session import spread
 
 
 def _lit(text: str) -> str:
@@ -17,7 +18,11 @@ def _lit(text: str) -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "combined_dataset").select("row_id", "text"))
 
 
 _LOOK = f"translate(text, {_lit(lx.LOOKALIKES[0] + lx.MARKS[0])}, {_lit(lx.LOOKALIKES[1] + lx.MARKS[1])})"
@@ -101,19 +106,19 @@ SELECT row_id, CAST({_matches('override')} AS DOUBLE) AS f01, CAST({_matches('ro
 FROM combined_dataset WHERE text IS NOT NULL
 """)
 def feat_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "combined_dataset").where("text is not null")
+    rows = _corpus(spark, sf_dir).where("text is not null")
     return rows.select("row_id", *[v.alias(k) for k, v in fx.keyword_features(F.col("text")).items()])
 
 
 @query()
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "combined_dataset").where("text is not null").select("row_id", nz.normalized(F.col("text")).alias("decoded_text"))
+    rows = _corpus(spark, sf_dir).where("text is not null").select("row_id", nz.normalized(F.col("text")).alias("decoded_text"))
     return rows.select("row_id", F.explode(fx.spans(F.col("decoded_text"))).alias("s")).select("row_id", "s.start", "s.end", "s.label")
 
 
 @query()
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.with_features(table(spark, sf_dir, "combined_dataset").select("row_id", "text"))
+    rows = fx.with_features(_corpus(spark, sf_dir))
     return rows.select("row_id", F.array(*fx.vector_columns()).alias("features"))
 
 
@@ -126,7 +131,7 @@ b AS (SELECT *, CASE WHEN f21 >= 2 AND p < 0.49::DOUBLE THEN least(p + least(f21
 SELECT row_id, round(boosted, 4) AS confidence, CASE WHEN boosted >= 0.60::DOUBLE THEN 'BLOCK' ELSE 'ALLOW' END AS verdict FROM b
 """)
 def rule_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "combined_dataset").where("text is not null").selectExpr("row_id", "text", f"{_STAND} AS p")
+    rows = _corpus(spark, sf_dir).where("text is not null").selectExpr("row_id", "text", f"{_STAND} AS p")
     k = fx.keyword_features(F.col("text"))
     after = rows.select("row_id", rules.boosted(F.col("p"), k["f21"], k["hard_hits"]).alias("b"))
     return after.select("row_id", F.round("b", 4).alias("confidence"), rules.verdict(F.col("b")).alias("verdict"))
@@ -134,13 +139,13 @@ def rule_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def family_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.with_features(table(spark, sf_dir, "combined_dataset").select("row_id", "text"))
+    rows = fx.with_features(_corpus(spark, sf_dir))
     raw = rules.raw_family_scores()
     return rows.select("row_id", *[v.alias(k) for k, v in rules.softmax(raw).items()], rules.family(raw, fx.spans(F.col("decoded_text"))["label"]).alias("family"))
 
 
 @query()
 def score_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "combined_dataset").selectExpr("row_id", "text", f"{_STAND} AS p")
+    rows = _corpus(spark, sf_dir).selectExpr("row_id", "text", f"{_STAND} AS p")
     out = rules.scored(fx.with_features(rows), "p")
     return out.select("row_id", "verdict", "label", "confidence", "attack_family", "family_scores", F.size("spans").alias("n_spans"), "rule_boost_applied")

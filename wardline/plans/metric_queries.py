@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions import mutate
 from wardline.operators import admission, evasion, metrics
 from wardline.plans.registry import query, table
+from wardline.session import spread
 
 _V = "WITH v AS (SELECT row_id, label, quality, quality >= 0.7::DOUBLE AS hit FROM combined_dataset WHERE label IN (0, 1) AND quality IS NOT NULL AND NOT isnan(quality))"
 
@@ -114,7 +115,7 @@ def mutated_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "combined_dataset").where("label = 1 and text is not null").select("row_id", "text")
+    return spread(table(spark, sf_dir, "combined_dataset").where("label = 1 and text is not null").select("row_id", "text"))
 
 
 @query()
@@ -131,7 +132,7 @@ def evasion_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def benign_fp_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "combined_dataset").where("label = 0 and text is not null").select("row_id", "text")
+    rows = spread(table(spark, sf_dir, "combined_dataset").where("label = 0 and text is not null").select("row_id", "text"))
     return evasion.blocked_by_rules(rows, "text", True).agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked"), F.round(F.avg(F.col("blocked").cast("int")), 6).alias("fp_rate"))
 
 

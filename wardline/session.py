@@ -46,6 +46,12 @@ def materialised(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a table of fewer splits than cores is dealt out before heavy work, any other is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def build_session(cores: int = 8, memory: str = "8g", app: str = "wardline", **conf: str) -> SparkSession:
     """A local session as tests and the bench use it; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
