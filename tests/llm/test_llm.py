@@ -258,6 +258,36 @@ def test_overlap_equals_brute_force(spark, monkeypatch):
     assert sum(r["eval_rows"] for r in report) == len(e) and sum(r["exact_rows"] + r["near_rows"] for r in report) == len({j for _, j in got})
 
 
+def brute_force(rows):
+    """Pairs of (row_id, words, split) rows, t against e, by the definition."""
+    t, e = ([(i, x) for i, x, s in rows if (s == "train") == k] for k in (True, False))
+    return {(i, j) for (i, a), (j, b) in itertools.product(t, e) if lcs(a, b) >= 0.8 * max(len(a), len(b)) - 1e-9}
+
+
+def overlap_pairs(spark, rows):
+    df = spark.createDataFrame([(i, " ".join(x), s, "a") for i, x, s in rows], "row_id long, text string, split string, source string")
+    return {(r["train_id"], r["eval_id"]) for r in overlap.row_pairs(*overlap.overlaps(df)).collect()}
+
+
+def test_overlap_where_one_template_dominates(spark):
+    rng = random.Random(12)
+    template, rows = [f"w{i}" for i in range(50)], []
+    for i in range(120):
+        t = list(template)
+        for j in rng.sample(range(50), rng.randint(3, 9)):
+            t[j] = f"own{i}x{j}"
+        rows.append((i, t, "train" if i % 2 else "test"))
+    want = brute_force(rows)
+    assert overlap_pairs(spark, rows) == want and 300 < len(want) < 3600
+
+
+def test_overlap_where_one_template_dominates_and_its_rare_passages_change(spark):
+    template = [f"w{i}" for i in range(50)]
+    rows = [(i, template[:10] + [f"own{i}"] + template[11:25] + [f"own{i}b"] + template[26:40] + [f"own{i}c"] + template[41:], "test") for i in range(20)]
+    rows.append((100, [w if w.startswith("w") else f"{w}x" for w in rows[0][1]], "train"))
+    assert overlap_pairs(spark, rows) == brute_force(rows) == {(100, i) for i in range(20)}
+
+
 def test_overlap_of_nothing(spark):
     empty = spark.createDataFrame([], "row_id long, text string, split string, source string")
     members, pairs = overlap.overlaps(empty)
