@@ -288,6 +288,14 @@ def test_overlap_where_one_template_dominates_and_its_rare_passages_change(spark
     assert overlap_pairs(spark, rows) == brute_force(rows) == {(100, i) for i in range(20)}
 
 
+def test_overlap_of_evenly_spread_changes(spark):
+    long, short = [f"w{i}" for i in range(25)], [f"s{i}" for i in range(10)]
+    spread = [f"new{i}" if i % 5 == 0 else w for i, w in enumerate(long)]
+    apart = [*short[:2], *short[3:5], "x", short[5], "y", short[6], *short[8:]]
+    rows = [(1, long, "test"), (2, spread, "train"), (3, short, "test"), (4, apart, "train")]
+    assert overlap_pairs(spark, rows) == brute_force(rows) == {(2, 1), (4, 3)}
+
+
 def test_overlap_of_nothing(spark):
     empty = spark.createDataFrame([], "row_id long, text string, split string, source string")
     members, pairs = overlap.overlaps(empty)
