@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline import schemas
 from wardline.operators import admission, corpus, evasion, metrics, ml, near_dups, sessions
+from wardline.plans import catalogue
 from wardline.sources import readers, sinks
 
 
@@ -73,6 +74,17 @@ def test_leaders_equal_the_sequential_pass(spark, threshold):
     assert got == want
 
 
+def test_near_dup_queries_have_the_reference_threshold(spark, tmp_path):
+    texts = ["guard prompt filter story", "guard prompt castle window", "harbour ignore"]
+    rows = spark.createDataFrame([(i, t, 1, "seas_role_play", None) for i, t in enumerate(texts)], "row_id long, text string, label int, source string, template_id long")
+    rows.write.parquet(str(tmp_path / "combined_dataset.parquet"))
+    one, two = map(plain_shingles, texts[:2])
+    assert 0.4 <= len(one & two) / (len(one) * len(two)) ** 0.5 < 0.8
+    queries = catalogue.queries()
+    assert [(r["a"], r["b"]) for r in queries["near_dup_pairs"](spark, str(tmp_path)).collect()] == [(0, 1)]
+    assert {r["key"]: r["leader"] for r in queries["near_dup_leaders"](spark, str(tmp_path)).collect()} == {0: 0, 1: 0, 2: 2}
+
+
 def test_accepting_rate_limit(spark):
     rng = random.Random(1)
     rows = [(i, rng.randint(0, 2), rng.randint(0, 400)) for i in range(300)]

@@ -157,11 +157,15 @@ def script_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.script_histogram(table(spark, sf_dir, "documents").select("text"))
 
 
+#: The cosine from which the reference counts role-play rows as one template.
+TEMPLATE_COSINE = 0.40
+
+
 @query()
 def near_dup_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.leaders(_clean(spark, sf_dir, "source").where("source ilike '%role%play%'"), "row_id", "text")
+    return near_dups.leaders(_clean(spark, sf_dir, "source").where("source ilike '%role%play%'"), "row_id", "text", TEMPLATE_COSINE)
 
 
 @query()
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.similar_pairs(_clean(spark, sf_dir, "source").where("source ilike '%role%play%'"), "row_id", "text")
+    return near_dups.similar_pairs(_clean(spark, sf_dir, "source").where("source ilike '%role%play%'"), "row_id", "text", TEMPLATE_COSINE)
