@@ -164,6 +164,12 @@ def test_models_separate_attacks(spark):
     assert metrics.rank_sums(ml.kernel_svm(data, size=16), "p", "label").first()["auc"] == 1.0
 
 
+def test_svm_scores_are_of_the_held_out_rows(spark, small):
+    queries = catalogue.queries()
+    rows = {name: {r["row_id"] for r in queries[name](spark, small).select("row_id").collect()} for name in ("svm_scores", "lr_scores")}
+    assert rows["svm_scores"] == rows["lr_scores"] and rows["svm_scores"]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('text,label\n"two\nlines, ""quoted""",1\nplain,0\n')
     rows = readers.read_corpus_csv(spark, str(tmp_path / "a.csv"), "primary")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import pi, sqrt
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,9 +55,10 @@ def boosting(data: DataFrame, label: str = "label", rounds: int = 300, depth: in
     return Pipeline(stages=[GBTClassifier(labelCol=label, weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed)]).fit(data)
 
 
-def fourier_features(data: DataFrame, size: int = 256, gamma: float | None = None, seed: int = 42) -> DataFrame:
-    """data with fourier: random cosine features whose inner products approximate an RBF kernel on scaled features."""
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(data)
+def fourier_features(data: DataFrame, size: int = 256, gamma: float | None = None, seed: int = 42, scaler: StandardScalerModel | None = None) -> DataFrame:
+    """data with fourier: random cosine features whose inner products approximate an RBF kernel on features scaled by
+    scaler, or as data itself has it."""
+    scaler = scaler or _scaler(data)
     rng = np.random.default_rng(seed)
     width = len(vector_columns())
     g = gamma if gamma is not None else 1.0 / width
@@ -67,14 +69,43 @@ def fourier_features(data: DataFrame, size: int = 256, gamma: float | None = Non
     return scaler.transform(data).withColumn("fourier", array_to_vector(F.array(*dots))).drop("scaled")
 
 
-def kernel_svm(data: DataFrame, label: str = "label", size: int = 64, seed: int = 42) -> DataFrame:
-    """data with p: a linear machine on Fourier features, its margin calibrated by a logistic regression."""
-    mapped = materialised(fourier_features(data, size, seed=seed))
-    margins = LinearSVC(featuresCol="fourier", labelCol=label, weightCol="weight", maxIter=50, regParam=0.001).fit(mapped).transform(mapped)
-    scored = margins.withColumn("margin", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
-    one = VectorAssembler(inputCols=["margin"], outputCol="m").transform(scored)
-    fitted = LogisticRegression(featuresCol="m", labelCol=label, weightCol="weight").fit(one)
-    return fitted.transform(one).withColumn("p", vector_to_array("probability")[1]).drop("m", "margin", "fourier", "probability", "rawPrediction", "prediction")
+def _scaler(data: DataFrame) -> StandardScalerModel:
+    return StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(data)
+
+
+@dataclass
+class KernelSvm:
+    """The fitted stages of a kernel machine; they score any rows with features."""
+
+    scaler: StandardScalerModel
+    machine: LinearSVCModel
+    calibration: LogisticRegressionModel | None
+    size: int
+    seed: int
+
+    def margins(self, mapped: DataFrame) -> DataFrame:
+        scored = self.machine.transform(mapped).withColumn("margin", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
+        return VectorAssembler(inputCols=["margin"], outputCol="m").transform(scored)
+
+    def probabilities(self, data: DataFrame) -> DataFrame:
+        """data with p, the probability of label 1."""
+        one = self.margins(materialised(fourier_features(data, self.size, seed=self.seed, scaler=self.scaler)))
+        return self.calibration.transform(one).withColumn("p", vector_to_array("probability")[1]).drop("m", "margin", "fourier", "probability", "rawPrediction", "prediction")
+
+
+def kernel_machine(data: DataFrame, label: str = "label", size: int = 256, seed: int = 42) -> KernelSvm:
+    """A linear machine on Fourier features, its margin calibrated by a logistic regression."""
+    scaler = _scaler(data)
+    mapped = materialised(fourier_features(data, size, seed=seed, scaler=scaler))
+    machine = LinearSVC(featuresCol="fourier", labelCol=label, weightCol="weight", maxIter=50, regParam=0.001).fit(mapped)
+    svm = KernelSvm(scaler, machine, None, size, seed)
+    svm.calibration = LogisticRegression(featuresCol="m", labelCol=label, weightCol="weight").fit(svm.margins(mapped))
+    return svm
+
+
+def kernel_svm(data: DataFrame, label: str = "label", size: int = 256, seed: int = 42) -> DataFrame:
+    """data with p of the kernel machine fitted on it; kernel_machine scores other rows."""
+    return kernel_machine(data, label, size, seed).probabilities(data)
 
 
 def probabilities(model: PipelineModel, data: DataFrame) -> DataFrame:

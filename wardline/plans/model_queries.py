@@ -42,8 +42,8 @@ def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def svm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = _data(spark, sf_dir)
-    return _scores(ml.kernel_svm(train))
+    train, test = _data(spark, sf_dir)
+    return _scores(ml.kernel_machine(train).probabilities(test))
 
 
 @query()
