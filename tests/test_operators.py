@@ -3,6 +3,7 @@
 import itertools
 import random
 from collections import Counter
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,25 @@ def test_svm_scores_are_of_the_held_out_rows(spark, small):
     assert rows["svm_scores"] == rows["lr_scores"] and rows["svm_scores"]
 
 
+def fits_without_sizes(monkeypatch, *names):
+    """Puts a quick fit in the place of the named ones; gives the sizes that they are called with."""
+    calls = []
+    for name in names:
+        monkeypatch.setattr(ml, name, lambda data, name=name, **sizes: calls.append((name, sizes)) or quick[name](data))
+    quick = {"forest": partial(ml_forest, trees=3, depth=3), "boosting": partial(ml_boosting, rounds=2, depth=2)}
+    return calls
+
+
+ml_forest, ml_boosting = ml.forest, ml.boosting
+
+
+def test_model_selection_chooses_among_four(spark, small, monkeypatch):
+    calls = fits_without_sizes(monkeypatch, "forest", "boosting")
+    got = catalogue.queries()["model_selection"](spark, small).collect()
+    assert [r["model"] for r in got] == ["lr", "rf", "gbt", "svm"] and calls == [("forest", {}), ("boosting", {})]
+    assert [r["roc_auc"] for r in got if r["selected"]] == [max(r["roc_auc"] for r in got)]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('text,label\n"two\nlines, ""quoted""",1\nplain,0\n')
     rows = readers.read_corpus_csv(spark, str(tmp_path / "a.csv"), "primary")

@@ -49,8 +49,9 @@ def svm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _data(spark, sf_dir)
-    models = {"lr": ml.logistic(train), "rf": ml.forest(train, trees=TREES, depth=DEPTH)}
-    aucs = {k: metrics.rank_sums(ml.probabilities(m, test), "p", "label").first()["auc"] or 0.0 for k, m in models.items()}
+    models = {"lr": ml.logistic(train), "rf": ml.forest(train), "gbt": ml.boosting(train)}
+    scored = {k: ml.probabilities(m, test) for k, m in models.items()} | {"svm": ml.kernel_machine(train).probabilities(test)}
+    aucs = {k: metrics.rank_sums(v, "p", "label").first()["auc"] or 0.0 for k, v in scored.items()}
     best = ml.select_best(aucs)
     return spark.createDataFrame([(k, float(v), k == best) for k, v in aucs.items()], "model string, roc_auc double, selected boolean")
 
