@@ -190,6 +190,20 @@ def test_model_selection_chooses_among_four(spark, small, monkeypatch):
     assert [r["roc_auc"] for r in got if r["selected"]] == [max(r["roc_auc"] for r in got)]
 
 
+def test_model_queries_cut_no_sizes(spark, small, monkeypatch):
+    calls = fits_without_sizes(monkeypatch, "forest", "boosting")
+    for name in ("rf_scores", "gbt_scores", "feature_importance"):
+        catalogue.queries()[name](spark, small)
+    assert calls == [("forest", {}), ("boosting", {}), ("forest", {})]
+    runs, best = [], ml.best_kmeans
+    monkeypatch.setattr(ml, "best_kmeans", lambda data, k=6, restarts=20, **rest: runs.append((k, restarts)) or best(data, k, 1, **rest))
+    for name in ("kmeans_families", "cluster_members"):
+        catalogue.queries()[name](spark, small)
+    assert runs == [(6, 20), (6, 20)]
+    del runs[:]
+    assert [r["k"] for r in catalogue.queries()["silhouette_sweep"](spark, small).collect()] == list(range(2, 10)) and runs == [(k, 10) for k in range(2, 10)]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('text,label\n"two\nlines, ""quoted""",1\nplain,0\n')
     rows = readers.read_corpus_csv(spark, str(tmp_path / "a.csv"), "primary")

@@ -140,10 +140,10 @@ def scaled(data: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="scaled").transform(metrics.standardised(flat, names)).drop(*names)
 
 
-def silhouettes(data: DataFrame, ks: range = range(2, 10)) -> list[tuple[int, float]]:
-    """(k, silhouette) of one K-Means run each."""
+def silhouettes(data: DataFrame, ks: range = range(2, 10), restarts: int = 10) -> list[tuple[int, float]]:
+    """(k, silhouette) of the best of several K-Means runs each."""
     score = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster_id")
-    return [(k, score.evaluate(best_kmeans(data, k, 1).transform(data))) for k in ks]
+    return [(k, score.evaluate(best_kmeans(data, k, restarts).transform(data))) for k in ks]
 
 
 def name_clusters(centres: list[list[float]]) -> dict[int, str]:

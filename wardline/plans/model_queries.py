@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from wardline.operators import corpus, metrics, ml
 from wardline.plans.registry import query, table
 
-#: Sizes of the ensembles that the queries train; the operators' defaults are 300.
-TREES, ROUNDS, DEPTH = 60, 20, 10
-
 
 def _data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = corpus.stratified_split(corpus.clean(table(spark, sf_dir, "combined_dataset").select("row_id", "text", "label")))
@@ -31,13 +28,13 @@ def lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _data(spark, sf_dir)
-    return _scores(ml.probabilities(ml.forest(train, trees=TREES, depth=DEPTH), test))
+    return _scores(ml.probabilities(ml.forest(train), test))
 
 
 @query()
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _data(spark, sf_dir)
-    return _scores(ml.probabilities(ml.boosting(train, rounds=ROUNDS, depth=4), test))
+    return _scores(ml.probabilities(ml.boosting(train), test))
 
 
 @query()
@@ -59,14 +56,14 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _data(spark, sf_dir)
-    return spark.createDataFrame(ml.importances(ml.forest(train, trees=TREES, depth=DEPTH)), "feature string, importance double, top_quartile boolean")
+    return spark.createDataFrame(ml.importances(ml.forest(train)), "feature string, importance double, top_quartile boolean")
 
 
 @query()
 def kmeans_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _data(spark, sf_dir)
     attacks = ml.scaled(train.where("label = 1"))
-    model = ml.best_kmeans(attacks, restarts=5)
+    model = ml.best_kmeans(attacks)
     names = ml.name_clusters([c.tolist() for c in model.clusterCenters()])
     named = spark.createDataFrame(list(names.items()), "cluster_id int, family string")
     return model.transform(attacks).select("row_id", "cluster_id").join(F.broadcast(named), "cluster_id", "left").select("row_id", "cluster_id", F.coalesce("family", F.lit("unknown")).alias("family"))
@@ -76,13 +73,13 @@ def kmeans_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _data(spark, sf_dir)
     attacks = ml.scaled(train.where("label = 1"))
-    return ml.nearest_members(ml.best_kmeans(attacks, restarts=2).transform(attacks), "row_id")
+    return ml.nearest_members(ml.best_kmeans(attacks).transform(attacks), "row_id")
 
 
 @query()
 def silhouette_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _data(spark, sf_dir)
-    return spark.createDataFrame(ml.silhouettes(ml.scaled(train.where("label = 1")), range(2, 5)), "k int, silhouette double")
+    return spark.createDataFrame(ml.silhouettes(ml.scaled(train.where("label = 1"))), "k int, silhouette double")
 
 
 @query()
