@@ -423,6 +423,18 @@ def test_wand_finds_all_above_the_threshold():
         assert sorted(index.search(query)) == sorted(i for i, s in scores.items() if s >= 1)
 
 
+def test_wand_finds_runs_that_meet_the_threshold_exactly():
+    rng = random.Random(3)
+    items = [rng.sample([f"w{i}" for i in range(400)], 30) for _ in range(200)]
+    index, missed = leakage.Index(items), []
+    for i, ws in enumerate(items):
+        impact = {w: index.impacts[w][index.ids[w].index(i)] for w in ws}
+        runs = [sorted(ws[s : s + leakage.RUN], key=impact.get)[: -leakage.CHANGED] for s in range(len(ws) - leakage.RUN + 1)]
+        weakest = min(runs, key=lambda r: sum(map(impact.get, r)))
+        missed += [i for _ in range(10) if i not in index.search(dict.fromkeys(rng.sample(weakest, len(weakest))))]
+    assert not missed
+
+
 # 10 reading level
 
 

@@ -26,6 +26,8 @@ from wardline.llm.support import cut
 
 RUN = 12
 CHANGED = 1
+#: The threshold of 1 less what rounding takes off sums that meet it exactly.
+ENOUGH = 1 - 1e-9
 #: Words of a passage and from one passage's start to the next: any RUN words in a row are within one passage.
 PASSAGE, STRIDE = 2 * RUN, RUN
 K1, B = 1.2, 0.75
@@ -94,7 +96,7 @@ class Index:
             bound, pivot = 0.0, -1
             for k, c in enumerate(lists):
                 bound += self.most[c[2]]
-                if bound >= 1:
+                if bound >= ENOUGH:
                     pivot = k
                     break
             if pivot < 0:
@@ -108,9 +110,9 @@ class Index:
                 if b < len(self.lasts[c[2]]):
                     bound += self.blocks[c[2]][b]
                     block_end = min(block_end, self.lasts[c[2]][b])
-            if bound >= 1:
+            if bound >= ENOUGH:
                 target = item + 1 if lists[0][0] == item else item
-                if lists[0][0] == item and sum(self.impacts[c[2]][c[1]] for c in lists[: pivot + 1]) >= 1:
+                if lists[0][0] == item and sum(self.impacts[c[2]][c[1]] for c in lists[: pivot + 1]) >= ENOUGH:
                     out.append(item)
             else:
                 after = lists[pivot + 1][0] if pivot + 1 < len(lists) else 1 << 62
@@ -174,7 +176,7 @@ def _worth_asking(most: np.ndarray) -> list[int]:
     known = np.concatenate(([0], np.cumsum(most > 0)))
     at = np.arange(n)
     dense = np.concatenate(([0], np.cumsum(known[np.minimum(at + RUN + 1, n)] - known[at] >= RUN - CHANGED)))
-    return starts[(summed[ends] - summed[starts] >= 1) & (dense[ends] > dense[starts])].tolist()
+    return starts[(summed[ends] - summed[starts] >= ENOUGH) & (dense[ends] > dense[starts])].tolist()
 
 
 def _leaks(index_of) -> object:
