@@ -14,6 +14,8 @@ from wardline.session import ship_package
 
 #: Share of all rows from which one key counts as hot. At most 1 / HOT_SHARE keys can be that large.
 HOT_SHARE = 0.001
+#: Rows of a hot key that are joined in one piece.
+PIECE_ROWS = 10_000
 
 _own_folder: dict[str, str] = {}
 
@@ -79,6 +81,24 @@ def keyed_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, t
     return hit.unionByName(rows.join(hot_keys, keys, "left_anti").join(cold, keys, how))
 
 
+def hot_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys with more than HOT_SHARE of the rows, and into how many pieces of about PIECE_ROWS their rows are dealt.
+
+    They number at most 1 / HOT_SHARE, whatever the data.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    limit = max(PIECE_ROWS, int(rows.count() * HOT_SHARE))
+    return sizes.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / PIECE_ROWS).cast("int").alias("pieces"))
+
+
+def copies_join(few: DataFrame, many: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """few joined to many, whose rows of hot keys are dealt into pieces, so that no task gets all rows of one key."""
+    wide = F.broadcast(hot)
+    dealt = many.join(wide, keys, "left").withColumn("piece", F.when(F.col("pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[c for c in many.columns if c not in keys]), F.col("pieces")))).drop("pieces")
+    each = few.join(wide, keys, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
+    return each.join(dealt.withColumn("piece", F.col("piece").cast("int")), [*keys, "piece"]).drop("piece")
+
+
 def unit_interval(*cols: Column) -> Column:
     """A reproducible uniform number in (0, 1) made from the columns' values."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
