@@ -31,7 +31,9 @@ def raw_fields(text: Column) -> Column:
 
 
 def plain_words(value: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(value), NOT_WORD, " "))
+    """Lower-case words with one space between; ASCII values take a pattern that is quicker and says the same."""
+    ascii_ = ~value.rlike(r"[^\x00-\x7F]")
+    return F.trim(F.when(ascii_, F.regexp_replace(F.lower(value), "[^a-z0-9]+", " ")).otherwise(F.regexp_replace(F.lower(value), NOT_WORD, " ")))
 
 
 def record_words(text: Column) -> Column:
