@@ -91,6 +91,68 @@ def test_store_keeps_splits_and_quarantines_merges(spark, tmp_path):
     assert {r["node"] for r in bad.collect()} == {"a:x", "a:y", "b:q"}
 
 
+def test_quarantine_is_remembered(spark, tmp_path):
+    path, schema = str(tmp_path / "store"), "row_id long, a string, b string, split string"
+    run = lambda rows, **more: {r["row_id"]: (r["split"], r["status"]) for r in splits.assign_splits(spark.createDataFrame(rows, schema), ["a", "b"], targets(spark), strata=(), store_path=path, **more).collect()}
+    assert run([(1, "x", None, "train"), (2, "y", None, "test")]) == {1: ("train", "kept"), 2: ("test", "kept")}
+    linked = run([(3, "x", "q", None), (4, "y", "q", None)])
+    assert linked == {3: ("train", "quarantined"), 4: ("test", "quarantined")}
+    assert run([(5, "y", None, None), (6, "z", None, None)])[5] == ("test", "quarantined")
+    assert run([(7, None, "q", None), (8, "w", "q", None)], hold_out=True) == {7: (None, "quarantined"), 8: (None, "quarantined")}
+    kept = {r["node"]: (r["split"], r["status"], sorted(r["splits"])) for r in splits.read_store(spark, path).collect()}
+    assert kept["a:x"] == ("train", "quarantined", ["test", "train"]) and kept["a:y"] == ("test", "quarantined", ["test", "train"])
+    assert kept["a:w"][1] == "quarantined" and kept["a:z"][1] == "kept"
+    nodes = {r["node"] for r in splits.conflicts(spark.createDataFrame([(9, "y", None, None)], schema), ["a", "b"], store=splits.read_store(spark, path)).collect()}
+    assert nodes == {"a:x", "a:y", "a:w", "b:q"}
+    splits.compact_store(spark, path)
+    assert {r["node"]: (r["split"], r["status"], sorted(r["splits"])) for r in splits.read_store(spark, path).collect()} == kept
+
+
+def test_only_touched_components_are_written(spark, tmp_path):
+    path, schema = str(tmp_path / "store"), "row_id long, a string, split string"
+    splits.assign_splits(spark.createDataFrame([(i, f"k{i}", None) for i in range(50)], schema), ["a"], targets(spark), strata=(), store_path=path).count()
+    splits.assign_splits(spark.createDataFrame([(90, "k3", None), (91, "new", None)], schema), ["a"], targets(spark), strata=(), store_path=path).count()
+    assert {r["node"] for r in spark.read.parquet(f"{path}/v2").collect()} == {"a:k3", "a:new"}
+    assert splits.read_store(spark, path).agg(F.sum("rows")).first()[0] == 52
+
+
+def test_shares_and_mix_of_splits(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(20_000):
+        source, label = rng.choice(["a", "a", "b", "c"]), rng.randint(0, 1)
+        group = rng.randint(0, 400) if rng.random() < 0.5 else None
+        rows.append((i, f"{source}{label}{group}" if group is not None else None, "big" if source == "c" and rng.random() < 0.3 else None, label, source, rng.choice([None] * 9 + ["train"]) if group is None else None))
+    df = spark.createDataFrame(rows, "row_id long, author string, site string, label int, source string, split string")
+    out = {r["row_id"]: r["split"] for r in splits.assign_splits(df, ["author", "site"], targets(spark)).collect()}
+    want = {"train": 0.75, "validation": 0.08, "test": 0.17}
+    for s, share in want.items():
+        assert abs(sum(x == s for x in out.values()) / len(rows) - share) < 0.02
+    # The component of "big" hangs together with half of source c; the other strata have the mix.
+    for source, label in itertools.product("ab", (0, 1)):
+        own = [out[r[0]] for r in rows if r[4] == source and r[3] == label]
+        for s, share in want.items():
+            assert abs(sum(x == s for x in own) / len(own) - share) < 0.03
+    by = defaultdict(set)
+    for i, a, b, *_ in rows:
+        for k in (a, b):
+            if k:
+                by[k].add(out[i])
+    assert all(len(s) == 1 for s in by.values())
+
+
+def test_hub_of_links(spark, monkeypatch):
+    edges = spark.range(20_000).selectExpr("'hub' AS a", "concat('n', id) AS b").unionByName(spark.range(500).selectExpr("concat('m', id) AS a", "concat('m', id + 1) AS b"))
+    roots = splits._roots(edges)
+    assert sorted((r["root"], r["count"]) for r in roots.groupBy("root").count().collect()) == [("hub", 20_001), ("m0", 501)]
+
+
+def test_too_many_targets(spark):
+    rows = spark.createDataFrame([(1, None, None, None, None)], "row_id long, template_id long, split string, label int, source string")
+    with pytest.raises(ValueError):
+        splits.assign_splits(rows, ["template_id"], spark.range(1001).selectExpr("concat('s', id) AS split", "0.1D AS target_share"))
+
+
 def test_splits_of_nothing(spark):
     empty = spark.createDataFrame([], "row_id long, template_id long, split string, label int, source string")
     assert splits.assign_splits(empty, ["template_id"], targets(spark)).count() == 0

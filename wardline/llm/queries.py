@@ -7,20 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import capping, conversations, format_dups, leakage, lookalikes, mixing, overlap, packing, reading, splits
-from wardline.llm.support import table
+from wardline.llm import capping, conversations, format_dups, forms, leakage, lookalikes, mixing, overlap, packing, reading, splits
+from wardline.llm.support import digest, new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _entities(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """combined_dataset with its two entities: the template and the record, which copies that differ in format share."""
+    rows = table(spark, sf_dir, "combined_dataset").select("template_id", "split", "text", *cols)
+    record = F.when(F.col("text").rlike(forms.HAS_WORD), F.concat(*[F.hex(h) for h in digest(forms.record_key(F.col("text")))]))
+    return rows.withColumn("record", record).drop("text")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = splits.conflicts(table(spark, sf_dir, "combined_dataset").select("template_id", "split"), ["template_id"])
-    return bad.select(F.substring_index("node", ":", -1).cast("bigint").alias("template_id"))
+    bad = splits.conflicts(_entities(spark, sf_dir), ["template_id", "record"])
+    return bad.where("node like 'template_id:%' and size(own_splits) > 1").select(F.substring_index("node", ":", -1).cast("bigint").alias("template_id"))
 
 
 def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "combined_dataset").select("row_id", "template_id", "split", "label", "source")
-    return splits.assign_splits(rows, ["template_id"], table(spark, sf_dir, "split_targets"))
+    rows = _entities(spark, sf_dir, "row_id", "label", "source")
+    return splits.assign_splits(rows, ["template_id", "record"], table(spark, sf_dir, "split_targets"), store_path=new_path(spark, "p1-store"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
