@@ -123,7 +123,7 @@ def conflicts(rows: DataFrame, key_cols: list[str], split_col: str = "split", st
     """Quarantined components: node, comp, splits, own_splits, for the nodes of components whose rows or history stand in
     several splits, or that were quarantined before. own_splits are those of the node's own rows in this batch, counted
     under their first key."""
-    given = rows.withColumn("given", split_name(F.col(f"`{split_col}`"))).select(*[F.col(f"`{k}`") for k in key_cols], "given")
+    given = cut(rows.withColumn("given", split_name(F.col(f"`{split_col}`"))).select(*[F.col(f"`{k}`") for k in key_cols], "given"), "p1-given")
     comps = cut(components(given, key_cols, store), "p1-comps")
     nodes, per_comp = _claims(_keyed(given, key_cols), comps)
     bad = per_comp.where("bad").select("comp", "splits", F.lit(True).alias("bad"))
