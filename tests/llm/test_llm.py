@@ -184,6 +184,43 @@ def test_conversations(spark, tmp_path):
     assert turns == [(u, 1, "user", "tie"), (u, 2, "assistant", "r1"), (u, 3, "user", "second"), (u, 4, "assistant", "r2"), (u, 5, "user", LONG), (u, 6, "assistant", "long"), (u, 7, "user", "later day"), (u, 8, "assistant", "r3"), (v, 1, "user", "fresh"), (v, 2, "assistant", "ok")]
 
 
+def message_rows(spark, rows):
+    """Rows (id, session, created, text, reply, ingested) as the table has them."""
+    m = spark.createDataFrame(rows, "id string, session_id string, c string, text string, reply string, i string")
+    return m.selectExpr("id", "session_id", "timestamp(c) created_at", "text", "cast(null AS string) verdict", "1.0D confidence", "cast(null AS string) attack_family", "cast(null AS string) family_scores", "cast(null AS string) model_version", "reply", "timestamp(i) ingested_at")
+
+
+def test_late_and_odd_messages(spark, tmp_path):
+    rows = [(f"f{i}", f"filler{i}", f"2025-02-{i + 1:02d} 10:00", "t", "r", f"2025-02-{i + 1:02d} 10:00") for i in range(25)]
+    rows += [
+        ("a1", "late", "2025-02-01 10:00", "one", "r", "2025-02-01 10:00"), ("a2", "late", "2025-02-01 10:05", "two", "r", "2025-02-24 10:00"),  # after its session closed
+        ("b1", "resumed", "2025-02-01 10:00", "one", "r", "2025-02-01 10:00"), ("b2", "resumed", "2025-02-20 10:00", "two", "r", "2025-02-20 10:00"),
+        ("c1", "bad late", "2025-02-01 10:00", "one", "r", "2025-02-01 10:00"), ("c2", "bad late", "2025-02-01 10:05", "two", None, "2025-02-24 10:00"),
+        ("d1", "from the future", "2031-01-01 10:00", "one", "r", "2025-02-02 10:00"),
+        ("e1", "timeless", None, "first", "r", None), ("e2", "timeless", "2025-02-05 10:00", "second", "r", None), ("e3", "timeless", None, "third", "r", "2025-02-06 10:00"),
+        (None, "nameless", "2025-02-05 10:00", "x", "r", None), (None, "nameless", "2025-02-05 10:00", "y", "r", None), (None, "nameless", "2025-02-05 10:00", "y", "r", None),
+        ("g1", "moved from", "2025-02-03 10:00", "old", None, "2025-02-03 10:00"), ("g1", "moved to", "2025-02-03 10:00", "new", "r", "2025-02-04 10:00"), ("g2", "moved from", "2025-02-03 11:00", "stays", "r", "2025-02-03 11:00"),
+    ]
+    message_rows(spark, rows).repartition(3).write.parquet(str(tmp_path / "messages"))
+    known = spark.createDataFrame([(s,) for s in {r[1] for r in rows}], "id string")
+    turns = defaultdict(list)
+    for r in conversations.conversations(spark, str(tmp_path / "messages"), known).where("role = 'user'").orderBy("turn").collect():
+        turns[r["session_id"]].append(r["text"])
+    assert {s: t for s, t in turns.items() if not s.startswith("filler")} == {"late": ["one", "two"], "resumed": ["one", "two"], "from the future": ["one"], "timeless": ["first", "second", "third"], "nameless": sorted(turns["nameless"]), "moved to": ["new"], "moved from": ["stays"]}
+    assert sorted(turns["nameless"]) == ["x", "y"] and len(turns) == 25 + 7
+    assert {(r["session_id"], r["state"]) for r in conversations.dropped_sessions(spark, str(tmp_path / "messages"), known).collect()} == {("bad late", "broken")}
+
+
+def test_hot_sessions_are_units_by_the_hour(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(conversations, "HOT_ROWS", 50)
+    rows = [(f"h{i:03d}", "hot", f"2025-03-{1 + i // 96:02d} {i // 4 % 24:02d}:{i % 4 * 15:02d}", f"t{i}", "r", f"2025-03-{1 + i // 96:02d} {i // 4 % 24:02d}:{i % 4 * 15:02d}") for i in range(300)]
+    rows += [(f"k{i}", f"cold{i % 9}", "2025-03-02 10:00", "t", "r", "2025-03-02 10:00") for i in range(30)]
+    message_rows(spark, rows).write.parquet(str(tmp_path / "messages"))
+    known = spark.createDataFrame([(s,) for s in {r[1] for r in rows}], "id string")
+    got = conversations.conversations(spark, str(tmp_path / "messages"), known).where("role = 'user' and session_id = 'hot'").orderBy("turn").collect()
+    assert [(r["turn"], r["text"]) for r in got] == [(2 * i + 1, f"t{i}") for i in range(300)]
+
+
 def test_numbering_of_hot_keys(spark, monkeypatch):
     rows = spark.range(5000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 50)) AS k", "id % 7 AS a", "id AS b")
     want = {r["b"]: r["n"] for r in rows.selectExpr("b", "row_number() over (partition by k order by a, b) AS n").collect()}
@@ -217,6 +254,15 @@ def test_mix_prefers_quality(spark):
     assert len(drawn) == 4000 and sum(i % 2 == 0 for i in drawn) > 0.8 * len(drawn)
 
 
+def test_mix_report_counts_what_is_drawn(spark):
+    rows = spark.range(1000).selectExpr("id AS row_id", "if(id < 900, 'big', 'small') AS source", "1 AS label", "0.5D AS quality")
+    want = spark.createDataFrame([("big", 1, 0.6004, 1), ("small", 1, 0.4, 2), ("none", 1, 0.0, 1), ("gone", 0, 0.1, 1)], "source string, label int, target_share double, max_repeats int")
+    plan, drawn = mixing.draw(rows, want)
+    uses = {r["source"]: r["n"] for r in drawn.groupBy("source").agg(F.sum("uses").alias("n")).collect()}
+    report = {r["source"]: (r["reached_share"], r["short"]) for r in mixing.mix_report(plan, drawn).collect()}
+    assert report == {"big": (uses["big"] / 1000, False), "small": (0.2, True), "none": (0.0, False), "gone": (0.0, True)} and uses["small"] == 200
+
+
 def test_mix_by_size_and_of_nothing(spark):
     want = spark.createDataFrame([("s", 1, 0.25, 1)], "source string, label int, target_share double, max_repeats int")
     rows = spark.range(400).selectExpr("id AS row_id", "'s' AS source", "1 AS label", "0.5D AS quality", "if(id = 0, null, id % 9) AS size")
@@ -479,10 +525,34 @@ def test_packing(spark):
         assert (r["bin_id"] is None) == (r["tokens"] == 0) and r["container"] == "s"
         bins[r["bin_id"]] += r["tokens"]
     assert sorted((r["item_id"], r["piece"], r["tokens"]) for r in rows) == [(1, 0, 0), (2, 0, 0), (3, 0, 5), (4, 0, 10), (5, 0, 10), (5, 1, 10), (5, 2, 5), (6, 0, 5), (6, 0, 5)]
-    assert all(n <= 10 for n in bins.values()) and len(bins) == 6
+    assert all(n <= 10 for n in bins.values()) and len(bins) == 6 and {b for b in bins if b is not None and b < 0}
     assert packing.pack(sizes.limit(0), kinds).count() == 0
 
 
+def test_many_kinds_of_containers(spark):
+    sizes = spark.range(300).selectExpr("id AS item_id", "id % 40 + 1 AS tokens")
+    kinds = spark.range(200).selectExpr("concat('k', id) AS container", "id + 40 AS capacity_tokens")
+    packed = packing.pack(sizes, kinds)
+    assert packed.groupBy("container").agg(F.count_distinct("item_id").alias("n")).where("n = 300").count() == 200
+    assert packed.groupBy("container", "capacity", "bin_id").agg(F.sum("tokens").alias("t")).where("t > capacity").count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(sizes, spark.range(1001).selectExpr("concat('k', id) AS container", "id + 40 AS capacity_tokens"))
+
+
+def test_full_pieces_stay_out_of_the_windows(spark):
+    rows = packing.pack(spark.createDataFrame([(1, 1_000_003), (2, 4)], "item_id long, tokens long"), spark.createDataFrame([("s", 10)], "container string, capacity_tokens int"))
+    assert rows.count() == 100_002 and rows.where("bin_id < 0").count() == 100_000
+    assert rows.select("bin_id").distinct().count() == 100_001 and rows.agg(F.sum("tokens")).first()[0] == 1_000_007
+
+
+def test_tokens_of_pieces_add_up(monkeypatch):
+    text = "Some words, and 12 numbers:\n\nnew  lines; it's don't   " * 40
+    monkeypatch.setattr(packing, "PIECE_CHARS", 50)
+    assert "".join(packing._pieces(text)) == text and len(list(packing._pieces(text))) > 10
+    words = packing.re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+(?!\S)|\s+")
+    assert [w for p in packing._pieces(text) for w in words.findall(p)] == words.findall(text)
+
+
 def test_tokens(spark):
     texts = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "<|endoftext|>"), (5, LONG)], "item_id long, text string")
     got = {r["item_id"]: r["tokens"] for r in packing.count_tokens(texts).collect()}
