@@ -25,7 +25,8 @@ def source_name(source: Column) -> Column:
 
 
 def plan_mix(rows: DataFrame, targets: DataFrame, size_col: str | None = None, total: float | None = None) -> DataFrame:
-    """One row per target cell: source, label, target_share, max_repeats, rows, available, budget, epochs, rest, reached_share, short.
+    """One row per target cell: source, label, target_share, max_repeats, rows, available, budget, epochs, rest, reached_share,
+    short, whole (the size of the mix), as planned; mix_report gives what was drawn.
 
     Sizes are rows unless size_col names one (null or negative sizes count as 0). The mix is as large as the input,
     null sources and labels included, unless `total` says otherwise. A cell without rows reaches nothing; null shares
@@ -42,11 +43,16 @@ def plan_mix(rows: DataFrame, targets: DataFrame, size_col: str | None = None, t
     planned = joined.withColumn("budget", budget.cast("double")).withColumn("short", budget > most).withColumn("epochs", F.when(F.col("available") > 0, F.least(F.floor(F.col("budget") / F.col("available")), F.col("max_repeats"))).otherwise(0).cast("int"))
     planned = planned.withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.greatest(F.round(F.col("budget"), 0) - F.col("epochs") * F.col("available"), F.lit(0.0))).otherwise(0.0))
     reached = F.least(F.col("epochs") * F.col("available") + F.col("rest"), F.col("max_repeats") * F.col("available"))
-    return planned.withColumn("reached_share", F.when(whole > 0, reached / whole).otherwise(0.0)).select("cell", "source", "label", "target_share", "max_repeats", "rows", "available", "budget", "epochs", "rest", "reached_share", "short")
+    return planned.withColumn("reached_share", F.when(whole > 0, reached / whole).otherwise(0.0)).withColumn("whole", whole).select("cell", "source", "label", "target_share", "max_repeats", "rows", "available", "budget", "epochs", "rest", "reached_share", "short", "whole")
 
 
 def draw_mix(rows: DataFrame, targets: DataFrame, id_col: str = "row_id", quality_col: str = "quality", size_col: str | None = None, total: float | None = None, seed: int = 17) -> DataFrame:
-    """One row per drawn row: row_id, source, label, uses (how often it is in the mix, at least once).
+    """One row per drawn row: row_id, source, label, uses (how often it is in the mix, at least once). See draw."""
+    return draw(rows, targets, id_col, quality_col, size_col, total, seed)[1].select("row_id", "source", "label", "uses")
+
+
+def draw(rows: DataFrame, targets: DataFrame, id_col: str = "row_id", quality_col: str = "quality", size_col: str | None = None, total: float | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """(plan, drawn rows): the plan of plan_mix, and row_id, source, label, target_share, max_repeats, size, uses.
 
     A row's weight is its quality, at least LEAST_WEIGHT; null, NaN and negative qualities count as that. The draw
     depends on the ids and the seed alone. Sums stop before the budget is exceeded. Rows outside the target cells, and
@@ -69,4 +75,19 @@ def draw_mix(rows: DataFrame, targets: DataFrame, id_col: str = "row_id", qualit
     taken = border.withColumn("extra", (F.col("before") + run <= F.col("rest")).cast("int"))
     clear = judged.where("rest <= 0 or cut_bin is null or bin <> cut_bin").withColumn("extra", F.when((F.col("rest") > 0) & (F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin"))), 1).otherwise(0))
     both = clear.unionByName(taken)
-    return both.withColumn("uses", F.col("epochs") + F.col("extra")).where("uses > 0").select("row_id", "source", "label", "uses")
+    return plan, both.withColumn("uses", F.col("epochs") + F.col("extra")).where("uses > 0").select("row_id", "source", "label", "target_share", "max_repeats", "size", "uses")
+
+
+def mix_report(plan: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Per target cell: source, label, target_share, reached_share, rows, epochs, short, all of what was drawn.
+
+    reached_share is the size of the drawn rows, each as often as it is used, over that of the whole mix. A cell is short
+    if all its rows are used up and its budget is not met.
+    """
+    key = ["source", "label", "target_share", "max_repeats"]
+    used = drawn.groupBy(*key).agg(F.sum(F.col("uses") * F.col("size")).alias("used"), F.min("uses").alias("least"), F.count("*").alias("drawn"))
+    joined = plan.join(used, (plan["source"].eqNullSafe(used["source"])) & (plan["label"].eqNullSafe(used["label"])) & (plan["target_share"] == used["target_share"]) & (plan["max_repeats"] == used["max_repeats"]), "left")
+    had = F.coalesce(used["used"].cast("double"), F.lit(0.0))
+    spent = (plan["rows"] == 0) | (plan["max_repeats"] <= 0) | ((used["drawn"] >= plan["rows"]) & (used["least"] >= plan["max_repeats"]))
+    share = F.when(plan["whole"] > 0, had / plan["whole"]).otherwise(0.0)
+    return joined.select(plan["source"], plan["label"], plan["target_share"], share.alias("reached_share"), plan["rows"], plan["epochs"], F.coalesce(spent & (plan["budget"] > had), F.lit(False)).alias("short"))

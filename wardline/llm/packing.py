@@ -8,43 +8,73 @@ with counts and repeated as long as the counts last. Items are packed in windows
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wardline.llm.support import cut
 
+_shipped: set[tuple[str, str]] = set()
+#: A place where a word ends and a single blank and a letter follow.
+_WORD_START = re.compile(r"[^\W\d_](?= [^\W\d_])")
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which the tokenizer's vocabulary cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW_ITEMS = 20_000
-#: Container kinds that one call packs.
-MOST_KINDS = 100
+#: Container kinds that one call packs; more are an error.
+MOST_KINDS = 1000
+#: Characters of a text that are encoded at a time, cut at a blank: the pattern never joins words, so that counts add up.
+PIECE_CHARS = 1 << 20
 
 _encoders: dict = {}
 
 
-def _encoder(path: str):
-    if path not in _encoders:
+def _encoder(name: str):
+    """The encoder of a vocabulary file that was shipped with the job; a worker keeps it."""
+    if name not in _encoders:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        _encoders[name] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[name]
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """text in pieces that each begin with a blank before a letter, where the pattern begins a word anyway."""
+    at = 0
+    while len(text) - at > PIECE_CHARS:
+        cut_at = _WORD_START.search(text, at + PIECE_CHARS)
+        if not cut_at:
+            break
+        yield text[at : cut_at.start() + 1]
+        at = cut_at.start() + 1
+    yield text[at:]
 
 
-def count_tokens(texts: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """item_id, tokens of a table (item_id, text); null texts have none. Special tokens' strings count as text."""
+def count_tokens(texts: DataFrame, path: str = TOKENIZER, keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep, item_id unless others are named, and tokens of a table with text; null texts have none.
+
+    Special tokens' strings count as text. path names the vocabulary on the driver, which ships it to the workers.
+    """
+    spark, name = texts.sparkSession, path.rsplit("/", 1)[-1]
+    if (spark.sparkContext.applicationId, path) not in _shipped:
+        spark.sparkContext.addFile(path)
+        _shipped.add((spark.sparkContext.applicationId, path))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(path).encode_ordinary
+        encode = _encoder(name).encode_ordinary
         for b in batches:
-            yield pd.DataFrame({"item_id": b["item_id"], "tokens": [len(encode(t)) if t else 0 for t in b["text"]]})
+            yield b.drop(columns="text").assign(tokens=[sum(len(encode(p)) for p in _pieces(t)) if t else 0 for t in b["text"]])
 
-    return texts.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInPandas(count, "item_id long, tokens long")
+    own = texts.select(*(keep or [F.col("item_id").cast("long").alias("item_id")]), F.col("text").cast("string").alias("text"))
+    return own.mapInPandas(count, StructType([f for f in own.schema.fields if f.name != "text"] + [StructField("tokens", LongType())]))
 
 
 def fill(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -106,20 +136,26 @@ def pack(sizes: DataFrame, containers: DataFrame, window_items: int = WINDOW_ITE
     """container, capacity, bin_id, item_id, piece, tokens: every item in a container of each kind.
 
     An item above the capacity is cut into pieces of the capacity and one rest, numbered from 0; no other is split. An
-    item without tokens needs no container: bin_id null. Null sizes count as 0; containers of no capacity get nothing.
+    item without tokens needs no container: bin_id null. Null sizes count as 0; containers of no capacity get nothing. A
+    bin_id is one of its kind and capacity; those below 0 are of containers that one piece fills. Kinds named twice with
+    one capacity are one.
     """
     items = cut(sizes.select(F.col("item_id").cast("long"), F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("long").alias("tokens")), "p8-sizes")
     windows = -(-items.count() // window_items) or 1
-    kinds = containers.select("container", F.col("capacity_tokens").cast("long").alias("capacity")).where("capacity > 0").orderBy("capacity", "container").limit(MOST_KINDS).collect()
+    kinds = containers.select("container", F.col("capacity_tokens").cast("long").alias("capacity")).where("capacity > 0").distinct().orderBy("capacity", "container").limit(MOST_KINDS + 1).collect()
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
     listed = F.array(*[F.struct(F.lit(k["container"]).alias("container"), F.lit(k["capacity"]).cast("long").alias("capacity")) for k in kinds]).cast("array<struct<container:string,capacity:bigint>>")
     placed = items.select("item_id", "tokens", F.pmod(F.xxhash64("item_id"), F.lit(windows)).alias("window"), F.explode(listed).alias("k")).select("item_id", "tokens", "window", "k.container", "k.capacity")
-    rest = F.col("tokens") % F.col("capacity")
-    whole = F.floor(F.col("tokens") / F.col("capacity"))
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("tokens") / F.col("capacity")) - 1, F.lit(0))), lambda i: F.struct(i.cast("int").alias("piece"), F.when(i < whole, F.col("capacity")).otherwise(rest).alias("tokens")))
-    each = placed.select("container", "capacity", "window", "item_id", F.explode(pieces).alias("p")).select("container", "capacity", "window", "item_id", "p.piece", "p.tokens")
+    # Pieces of the whole capacity fill a container each, with no choice to make: they are numbered here, beside the windows.
+    whole, rest = F.floor(F.col("tokens") / F.col("capacity")), F.col("tokens") % F.col("capacity")
+    full = placed.where("tokens >= capacity").select("container", "capacity", "item_id", F.explode(F.sequence(F.lit(0), whole.cast("int") - 1)).alias("piece"), F.col("capacity").alias("tokens"))
+    full = full.select("container", "capacity", (-1 - F.monotonically_increasing_id()).alias("bin_id"), "item_id", "piece", "tokens")
+    left = placed.where(rest > 0).select("container", "capacity", "window", "item_id", whole.cast("int").alias("piece"), rest.alias("tokens"))
     schema = "container string, capacity long, bin_id long, item_id long, piece int, tokens long"
-    packed = each.where("tokens > 0").groupBy("container", "window").applyInPandas(_pack, schema)
-    return packed.unionByName(each.where("tokens = 0").select("container", "capacity", F.lit(None).cast("long").alias("bin_id"), "item_id", "piece", "tokens"))
+    packed = left.groupBy("container", "capacity", "window").applyInPandas(_pack, schema)
+    none = placed.where("tokens = 0").select("container", "capacity", F.lit(None).cast("long").alias("bin_id"), "item_id", F.lit(0).alias("piece"), "tokens")
+    return packed.unionByName(full).unionByName(none)
 
 
 def packing_report(packed: DataFrame) -> DataFrame:

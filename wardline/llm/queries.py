@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import capping, conversations, format_dups, forms, leakage, lookalikes, mixing, overlap, packing, reading, splits
-from wardline.llm.support import digest, new_path, table
+from wardline.llm.support import cut, digest, new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,14 +38,25 @@ def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(spark, f"{sf_dir}/classifications.parquet", table(spark, sf_dir, "sessions"))
 
 
+def _mix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "combined_dataset").select("row_id", "source", "label", "quality")
+    return mixing.mix_report(*mixing.draw(rows, table(spark, sf_dir, "mix_targets")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan_mix(table(spark, sf_dir, "combined_dataset").select("source", "label"), table(spark, sf_dir, "mix_targets"))
-    return plan.where("short").select("source", "label")
+    return _mix_report(spark, sf_dir).where("short").select("source", "label")
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan_mix(table(spark, sf_dir, "combined_dataset").select("source", "label"), table(spark, sf_dir, "mix_targets"))
-    return plan.select("source", "label", "target_share", F.round("reached_share", 6).alias("reached_share"), F.col("rows").alias("cell_rows"), "epochs", "short")
+    return _mix_report(spark, sf_dir).select("source", "label", "target_share", F.round("reached_share", 6).alias("reached_share"), F.col("rows").alias("cell_rows"), "epochs", "short")
+
+
+def p3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached where sizes and budgets are tokens of the texts."""
+    rows = table(spark, sf_dir, "combined_dataset").select("row_id", "source", "label", "quality", "text")
+    sized = cut(packing.count_tokens(rows, keep=["row_id", "source", "label", "quality"]), "p3-tokens")
+    report = mixing.mix_report(*mixing.draw(sized, table(spark, sf_dir, "mix_targets"), size_col="tokens"))
+    return report.select("source", "label", "target_share", F.round("reached_share", 6).alias("reached_share"), F.col("rows").alias("cell_rows"), "epochs", "short")
 
 
 def p3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
