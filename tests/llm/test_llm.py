@@ -323,6 +323,18 @@ def test_repair_needs_the_corpus(spark):
     assert lookalikes.consistent(texts.limit(0)).count() == 0
 
 
+def test_repair_in_whatever_case_and_script(spark):
+    texts = [("t", "1", "Рassword first"), ("t", "2", "the password"), ("t", "3", "ɡrid and ցrid"), ("t", "4", "grid"), ("t", "5", "𝐩𝐚𝐬𝐬𝐰𝐨𝐫𝐝"), ("t", "6", "ᏢASSWORD"), ("t", "7", "lone misspеlling"), ("t", "8", "lone misspelⅼing")]
+    out = {r["id"]: r["form"] for r in lookalikes.consistent(spark.createDataFrame(texts, "tab string, id string, text string")).collect()}
+    assert out["1"] == "Password first" and out["3"].startswith("grid and") and out["5"] == "password" and out["6"] == "PASSWORD" and out["7"] == "lone misspеlling"
+
+
+def test_agreeing_spellings_are_a_choice(spark):
+    texts = spark.createDataFrame([("t", "1", "the unsееn one"), ("t", "2", "the unѕeen one")], "tab string, id string, text string")
+    forms = lambda **more: {r["form"] for r in lookalikes.consistent(texts, **more).collect()}
+    assert forms() == {"the unseen one"} and len(forms(agreeing_spellings=False)) == 2
+
+
 # 6 overlap
 
 
@@ -624,6 +636,7 @@ def test_reading_levels(spark):
     docs = [(i, text(1 if i % 2 else 5), "en", "guide") for i in range(60)]
     docs += [(100, None, "en", "guide"), (101, " \n", None, None), (102, text(5), "de", None), (103, text(5), "en", "log"), (104, "cat dog.", "en", None)]
     docs += [(200 + i, "der hund und die katze sind im haus und das haus ist rot. " * 5, "de-DE", "guide") for i in range(20)] + [(300, "die katze und der hund sind im haus. " * 9, "en", "guide")]
+    docs += [(400 + i, rng.choice(["cat dog.", "sun red hat.", "run."]), "en", "note") for i in range(12)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, doc_type string").withColumn("level", F.lit("clash")).withColumn("best", F.lit("clash"))
     labels = spark.createDataFrame([(i, 1 if i % 2 else 5) for i in range(40)] + [(1, None), (3, 2), (3, 1), (5, 99), (None, 1)], "doc_id long, reading_level int").withColumn("rater", F.lit("r"))
     out = {r["doc_id"]: (r["reading_level"], r["kind"]) for r in reading.reading_levels(df, labels).collect()}
@@ -632,9 +645,23 @@ def test_reading_levels(spark):
     assert out[100] == out[101] == (None, "blank") and out[102][0] == 5 and out[103] == (None, "type:log") and out[104] == (None, "type:note")
     assert out[300] == (None, "lang:de")
     assert {r["kind"] for r in reading.reading_levels(df, labels.limit(0)).collect()} <= {"blank", "unknown", "lang:de", "type:log", "type:note"}
+    assert {r["kind"] for r in reading.reading_levels(df.where("doc_id < 60"), labels.limit(0)).collect()} == {"unknown"}
     assert reading.reading_levels(df.limit(0), labels).count() == 0
 
 
+def test_many_languages(spark):
+    rng = random.Random(5)
+    words = {f"l{k:02d}": [f"w{k}x{j}" for j in range(15)] for k in range(15)}
+    docs = [(k * 100 + i, " ".join(rng.choices(own, k=40)), lang, "guide") for k, (lang, own) in enumerate(words.items()) for i in range(15 - k + 4)]
+    docs += [(9000 + i, "the cat sat on the red mat and saw the sun " * 3, "en", "guide") for i in range(30)]
+    untagged = [(8000 + k, " ".join(rng.choices(own, k=40)), None, "guide") for k, own in enumerate(words.values())]
+    df = spark.createDataFrame(docs + untagged, "doc_id long, text string, lang string, doc_type string")
+    labels = spark.createDataFrame([(9000 + i, 1) for i in range(20)], "doc_id long, reading_level int")
+    out = {r["doc_id"]: (r["reading_level"], r["kind"]) for r in reading.reading_levels(df, labels).collect()}
+    assert all(out[8000 + k] == (None, f"lang:l{k:02d}" if k < reading.LANGUAGES else reading.OTHER_LANGUAGE) for k in range(15))
+    assert all(out[9000 + i][0] == 1 for i in range(30))
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

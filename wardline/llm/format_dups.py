@@ -24,11 +24,11 @@ def record_members(rows: DataFrame, id_col: str = "row_id", text_col: str = "tex
     label = F.col(f"`{label_col}`").cast("int") if label_col else F.lit(0)
     own = rows.select(F.col(f"`{id_col}`").alias("row_id"), F.col(f"`{text_col}`").cast("string").alias("text"), label.alias("label"))
     own = own.withColumn("part", F.coalesce(F.col("label").isin(0, 1) & F.col("text").rlike(forms.HAS_WORD), F.lit(False)))
-    encoded = F.transform(forms.raw_fields(F.col("text")), lambda f: F.struct(*digest(f["name"], f["value"])))
+    encoded = F.transform(forms.raw_fields(F.col("text")), lambda f: F.struct(*digest(f["name"], f["value"]), f["name"].alias("name"), f["value"].alias("value")))
     records = cut(own.where("part").select(F.monotonically_increasing_id().alias("uid"), "row_id", "label", encoded.alias("fields")), "p4-records")
     total = records.count()
 
-    raw = own.where("part").select(F.explode(forms.raw_fields(F.col("text"))).alias("f")).select(*digest(F.col("f.name"), F.col("f.value")), F.col("f.name").alias("name"), F.col("f.value").alias("value"))
+    raw = records.select(F.explode("fields").alias("f")).select("f.h1", "f.h2", "f.name", "f.value")
     distinct = raw.groupBy("h1", "h2").agg(F.first("name").alias("name"), F.first("value").alias("value"), F.count("*").alias("uses"))
     canonical = F.concat("name", F.lit("\u0002"), F.regexp_replace(F.lower("value"), forms.NOT_WORD, ""))
     dictionary = cut(distinct.select("h1", "h2", "uses", *[c.alias(n) for c, n in zip(digest(canonical), ("c1", "c2"))]), "p4-values")

@@ -5,7 +5,8 @@ document is a query; all items above the threshold come back, and an alignment o
 decides. Impacts are divided by the item's own threshold, so that 1 is the threshold of all: the least BM25 score that
 RUN words in a row of the item have when CHANGED of them, the heaviest, are lost.
 
-The items are indexed in shards of bounded size, each of which is sent to the executors once; documents never move.
+The items are indexed in shards of bounded size by id, which the workers read from the shared folder; a task goes through
+its documents in blocks, each block with one shard after another. Documents never move.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.lookalikes import TOKEN, doubtful, fold
-from wardline.llm.support import cut
+from wardline.llm.support import cut, digest, keyed_join, new_path
 
 RUN = 12
 CHANGED = 1
@@ -34,6 +35,8 @@ K1, B = 1.2, 0.75
 BLOCK = 16
 #: Items in one index; more are indexed in further shards.
 SHARD_ITEMS = 5_000
+#: Words of documents that a task holds at a time where there are several shards.
+BLOCK_WORDS = 4_000_000
 #: Words between two matching word pairs that still count as one run, and the share of a run's words that must match.
 GAP = 2
 MATCHED = 0.88
@@ -53,13 +56,6 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def item_words(texts: list[str]) -> list[list[str]]:
-    """The items' words without the first sentence where several items begin with it."""
-    parts = [_SENTENCE.split(t.strip(), maxsplit=1) for t in texts]
-    heads = Counter(" ".join(words_of(p[0])) for p in parts)
-    return [words_of(p[1] if len(p) > 1 and heads[" ".join(words_of(p[0]))] > 1 else t) for p, t in zip(parts, texts)]
-
-
 class Index:
     """Postings of (item, impact) by word, in blocks of BLOCK, with the largest impact of a list and of each block."""
 
@@ -179,23 +175,76 @@ def _worth_asking(most: np.ndarray) -> list[int]:
     return starts[(summed[ends] - summed[starts] >= ENOUGH) & (dense[ends] > dense[starts])].tolist()
 
 
-def _leaks(index_of) -> object:
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, item_ids = index_of()
-        most = index.most.get
-        for batch in batches:
+def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each item's words, those of its first sentence and those after it (null where it is all)."""
+    for b in batches:
+        parts = [_SENTENCE.split(t.strip(), maxsplit=1) for t in b["text"]]
+        yield pd.DataFrame({"item_id": b["item_id"], "whole": [" ".join(words_of(t)) for t in b["text"]], "head": [" ".join(words_of(p[0])) for p in parts], "rest": [" ".join(words_of(p[1])) if len(p) > 1 else None for p in parts]})
+
+
+def _written_items(items: DataFrame) -> tuple[str, list[int]]:
+    """A folder with the items' words in shards by id, without the first sentence where several items begin with it, and
+    the shards' numbers. Which sentences are shared is found over all items."""
+    spark = items.sparkSession
+    parsed = cut(items.mapInPandas(_parsed, "item_id long, whole string, head string, rest string").withColumns(dict(zip(("h1", "h2"), digest(F.col("head"))))), "p9-parsed")
+    n = parsed.count()
+    heads = cut(parsed.groupBy("h1", "h2").agg(F.count("*").alias("uses")), "p9-heads")
+    known = keyed_join(parsed, heads, ["h1", "h2"], "uses", n)
+    words = F.when((F.col("uses") > 1) & F.col("rest").isNotNull(), F.col("rest")).otherwise(F.col("whole"))
+    shards = -(-n // SHARD_ITEMS) or 1
+    path = new_path(spark, "p9-items")
+    known.select("item_id", words.alias("words"), F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int").alias("shard")).write.partitionBy("shard").parquet(path)
+    filled = sorted(r["shard"] for r in spark.read.parquet(path).select("shard").distinct().collect()) if n else []  # one row per SHARD_ITEMS items
+    return path, filled
+
+
+_kept: dict[tuple[str, int], tuple[Index, list]] = {}
+
+
+def _index(path: str, shard: int) -> tuple[Index, list]:
+    """A shard's index and its items' ids, built from the shared folder; a worker keeps the last one."""
+    if (path, shard) not in _kept:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        _kept.clear()
+        system, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        data = ds.dataset(f"{root}/shard={shard}", filesystem=system, format="parquet").to_table(columns=["item_id", "words"])
+        rows = sorted(zip(data.column("item_id").to_pylist(), data.column("words").to_pylist()))
+        _kept[path, shard] = Index([w.split(" ") if w else [] for _, w in rows]), [i for i, _ in rows]
+    return _kept[path, shard]
+
+
+def _leaks(path: str, shards: list[int]):
+    def block(docs: list[tuple[object, list[str]]]) -> Iterator[pd.DataFrame]:
+        for shard in sorted(shards, key=lambda s: (path, s) not in _kept):
+            index, item_ids = _index(path, shard)
+            most = index.most.get
             found: list[tuple[object, object, int]] = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                words = words_of(text)
-                if len(words) < RUN - CHANGED:
-                    continue
+            for doc, words in docs:
                 best: dict[int, int] = {}
                 for s in _worth_asking(np.array([most(w, 0.0) for w in words])):
                     for item in index.search(set(words[s : s + PASSAGE])):
                         if best.get(item, 0) < RUN:
                             best[item] = max(best.get(item, 0), index.longest_run(item, words[max(0, s - RUN) : s + PASSAGE + RUN]))
                 found += [(doc, item_ids[i], n) for i, n in best.items() if n >= RUN]
-            yield pd.DataFrame(found, columns=["doc_id", "item_id", "run_words"])
+            if found:
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "run_words"])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        docs: list[tuple[object, list[str]]] = []
+        held = 0
+        for batch in batches:
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                words = words_of(text)
+                if len(words) >= RUN - CHANGED:
+                    docs.append((doc, words))
+                    held += len(words)
+            if held >= (BLOCK_WORDS if len(shards) > 1 else 1):
+                yield from block(docs)
+                docs, held = [], 0
+        if docs:
+            yield from block(docs)
 
     return scan
 
@@ -207,34 +256,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_
     word here and there. The first sentence of an item counts only if no other item begins with it. Null and blank
     texts leak nothing; items of fewer than RUN words cannot leak. Repeated documents come out each, repeated items too.
     """
-    spark = documents.sparkSession
     docs = documents.select(F.col(f"`{doc_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null and text rlike '[\\\\p{L}\\\\p{N}]'")
     held = items.select(F.col(f"`{item_col}`").cast("bigint").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
-    n = held.count()
-    shards = -(-n // SHARD_ITEMS) or 1
-    held = cut(held.withColumn("shard", F.pmod(F.xxhash64(F.substring("text", 1, 40)), F.lit(shards))), "p9-items") if shards > 1 else held.withColumn("shard", F.lit(0))
-    schema = "doc_id long, item_id long, run_words int"
-    out = None
-    for shard in range(shards):
-        rows = held.where(F.col("shard") == shard).orderBy("item_id", "text").collect()  # SHARD_ITEMS of them
-        sent = spark.sparkContext.broadcast(([r["item_id"] for r in rows], item_words([r["text"] for r in rows])))
-        part = docs.mapInPandas(_leaks(_Loader(sent)), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-class _Loader:
-    """The index of a shard, built once in each worker process."""
-
-    _kept: dict[int, tuple[Index, list]] = {}
-
-    def __init__(self, sent):
-        self.sent = sent
-
-    def __call__(self) -> tuple[Index, list]:
-        key = id(self.sent.value)
-        if key not in self._kept:
-            self._kept.clear()
-            ids, words = self.sent.value
-            self._kept[key] = Index(words), ids
-        return self._kept[key]
+    path, shards = _written_items(held)
+    return docs.mapInPandas(_leaks(path, shards), "doc_id long, item_id long, run_words int")

@@ -20,19 +20,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.support import cut, digest, keyed_join
+from wardline.llm.support import copies_join, cut, digest, hot_groups, keyed_join
 
 # Letters of other scripts and the Latin letters that look the same, in the same order.
 CYRILLIC_TWINS = ("асеорхуүіјѕԁһԛԝѵӏАВСЕНІЈКМОРЅТХУҮԌԜҺ", "aceopxyyijsdhqwvlABCEHIJKMOPSTXYYGWh")
 GREEK_TWINS = ("οναρϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ovapcjABEZHIKMNOPTYXCJ")
+ARMENIAN_TWINS = ("օոսհՕՍ", "onuhOU")
+CHEROKEE_TWINS = ("ᎪᏴᏟᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᎳᏃ", "ABCEHJKLMPRSTWZ")
+PHONETIC_TWINS = ("ɡɑ", "ga")
 # Format characters that are seen, and characters without a look that aren't format characters.
 SEEN_FORMAT = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 UNSEEN = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x180F), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 
-TO_LATIN = {"Cyrillic": dict(zip(*CYRILLIC_TWINS)), "Greek": dict(zip(*GREEK_TWINS))}
+TO_LATIN = {"Cyrillic": dict(zip(*CYRILLIC_TWINS)), "Greek": dict(zip(*GREEK_TWINS)), "Armenian": dict(zip(*ARMENIAN_TWINS)), "Cherokee": dict(zip(*CHEROKEE_TWINS)), "Phonetic": dict(zip(*PHONETIC_TWINS))}
 FROM_LATIN = {script: {b: a for a, b in reversed(table.items())} for script, table in TO_LATIN.items()}
 TWINS = {"Latin": {b for t in TO_LATIN.values() for b in t.values()}, **{s: set(t) for s, t in TO_LATIN.items()}}
-OTHER_SCRIPT = re.compile("[Ͱ-ԯἀ-῿]")
+OTHER_SCRIPT = re.compile("[ɡɑͰ-ԯ԰-֏Ꭰ-\u13FFἀ-῿]")
 TOKEN = re.compile(r"[^\W\d_]+")
 BLANKS = re.compile("[ \t]+")
 JVM_TOKEN_GAP = r"[^\p{L}\p{M}]+"
@@ -53,7 +56,8 @@ def _fold_table() -> dict[int, str | None]:
         else:
             kind = unicodedata.decomposition(ch).partition(" ")[0]
             joined = kind in ("<compat>", "<initial>", "<medial>", "<final>", "<isolated>") and cat[0] == "L"
-            if kind in ("<wide>", "<narrow>") or joined:
+            styled = kind == "<font>" and cat[0] in "LN"  # letters and digits of mathematical alphabets
+            if kind in ("<wide>", "<narrow>") or joined or styled:
                 out[cp] = unicodedata.normalize("NFKC", ch)
     return out
 
@@ -71,7 +75,11 @@ def script(ch: str) -> str | None:
         return "Latin" if ch.isalpha() else None
     if 0x370 <= cp < 0x400 or 0x1F00 <= cp < 0x2000:
         return "Greek"
-    return "Cyrillic" if 0x400 <= cp < 0x530 else None
+    if 0x400 <= cp < 0x530:
+        return "Cyrillic"
+    if 0x530 <= cp < 0x590:
+        return "Armenian"
+    return "Cherokee" if 0x13A0 <= cp < 0x1400 else "Phonetic" if ch in PHONETIC_TWINS[0] else None
 
 
 def _own(counts: dict[str, int]) -> str | None:
@@ -129,11 +137,12 @@ def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"tab": b["tab"], "id": b["id"], "r1": b["r1"], "r2": b["r2"], "form": forms})
 
 
-def consistent(texts: DataFrame) -> DataFrame:
+def consistent(texts: DataFrame, agreeing_spellings: bool = True) -> DataFrame:
     """tab, id, r1, r2, form of a table (tab STRING, id STRING, text STRING), one row per row.
 
     form is the text in one consistent form, r1 and r2 a digest of the text as it was. The corpus whose words decide is
-    the table itself. A null text has a null form; a text without visible character has an empty one. Line breaks stay.
+    the table itself; letter case doesn't matter there. With agreeing_spellings a word on which two misspellings agree is
+    a word too, else it has to stand somewhere as such. A null text has a null form; a text without visible character has an empty one. Line breaks stay.
     Repeated ids are kept apart. Texts are folded whole, however long.
     """
     raw = texts.select("tab", F.col("id").cast("string").alias("id"), "text", *[c.alias(n) for c, n in zip(digest(F.col("text")), ("r1", "r2"))])
@@ -144,12 +153,15 @@ def consistent(texts: DataFrame) -> DataFrame:
     other = cut(raw.where(~ascii_).mapInPandas(_folded, schema + ", tokens array<string>, words array<string>").withColumn("rid", F.monotonically_increasing_id()), "p5-folded")
 
     doubts = other.where(F.size("tokens") > 0).select("rid", F.explode(F.arrays_zip("tokens", "words")).alias("z")).select("rid", F.col("z.tokens").alias("token"), F.col("z.words").alias("word"))
-    uses = cut(doubts.groupBy("token", "word").agg(F.count("*").alias("uses")), "p5-doubts")
-    tokens_of = lambda df: df.select(F.explode(F.array_distinct(F.split("form", JVM_TOKEN_GAP))).alias("word"))
-    seen = tokens_of(plain).unionByName(tokens_of(other.where(F.size("tokens") == 0))).unionByName(other.where(F.size("tokens") > 0).select(F.explode(F.array_except(F.split("form", JVM_TOKEN_GAP), "tokens")).alias("word"))).distinct()
-    spellings = uses.groupBy("word").agg(F.count("*").alias("spellings"))
-    words = spellings.where("spellings > 1").select("word").unionByName(spellings.where("spellings = 1").select("word").join(seen, "word", "left_semi"))
-    fixes = cut(uses.join(words, "word", "left_semi"), "p5-fixes")
+    uses = cut(doubts.groupBy("token", "word").agg(F.count("*").alias("uses")).withColumn("plain", F.lower("word")), "p5-doubts")
+    # Of the corpus only the words that some misspelling may stand for are looked at.
+    asked = cut(uses.groupBy("plain").agg(F.count_distinct(F.lower("token")).alias("spellings")), "p5-asked")
+    tokens_of = lambda df: df.select(F.explode(F.array_distinct(F.split(F.lower("form"), JVM_TOKEN_GAP))).alias("plain"))
+    doubted = F.transform("tokens", lambda t: F.lower(t))
+    seen = tokens_of(plain).unionByName(tokens_of(other.where(F.size("tokens") == 0))).unionByName(other.where(F.size("tokens") > 0).select(F.explode(F.array_except(F.split(F.lower("form"), JVM_TOKEN_GAP), doubted)).alias("plain"))).distinct()
+    sure = asked.where("spellings > 1").select("plain") if agreeing_spellings else asked.where("false").select("plain")
+    words = sure.unionByName(asked.select("plain").join(seen, "plain", "left_semi")).distinct()
+    fixes = cut(uses.join(words, "plain", "left_semi").drop("plain"), "p5-fixes")
     per_row = keyed_join(doubts.select("rid", "token"), fixes, ["token"], "uses", other.count()).groupBy("rid").agg(F.collect_list(F.struct("token", "word")).alias("fixes"))
     mended = other.where(F.size("tokens") > 0).drop("tokens", "words").join(per_row, "rid", "left").withColumn("fixes", F.coalesce("fixes", F.array().cast("array<struct<token:string,word:string>>")))
     mended = mended.select("tab", "id", "r1", "r2", "form", "fixes").mapInPandas(_repaired, schema)
@@ -173,6 +185,7 @@ def same_look_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     one = a.select("f1", "f2", "r1", "r2").distinct()
     two = b.select("f1", "f2", F.col("r1").alias("s1"), F.col("r2").alias("s2")).distinct()
     spelt = cut(one.join(two, ["f1", "f2"]).where("r1 <> s1 or r2 <> s2"), "p5-spellings")
-    lefts = a.join(spelt, ["f1", "f2", "r1", "r2"]).select(F.col("id").alias("left_id"), "f1", "f2", "s1", "s2")
-    rights = b.select(F.col("id").alias("right_id"), "f1", "f2", F.col("r1").alias("s1"), F.col("r2").alias("s2"))
-    return lefts.join(rights, ["f1", "f2", "s1", "s2"]).select("left_id", "right_id")
+    hot = cut(hot_groups(keys, ["r1", "r2"]), "p5-hot")
+    lefts = copies_join(spelt.select("r1", "r2", "s1", "s2"), a.select(F.col("id").alias("left_id"), "r1", "r2"), ["r1", "r2"], hot)
+    rights = b.select(F.col("id").alias("right_id"), "r1", "r2")
+    return copies_join(lefts.select("left_id", F.col("s1").alias("r1"), F.col("s2").alias("r2")), rights, ["r1", "r2"], hot).select("left_id", "right_id")

@@ -86,8 +86,9 @@ def mix_report(plan: DataFrame, drawn: DataFrame) -> DataFrame:
     """
     key = ["source", "label", "target_share", "max_repeats"]
     used = drawn.groupBy(*key).agg(F.sum(F.col("uses") * F.col("size")).alias("used"), F.min("uses").alias("least"), F.count("*").alias("drawn"))
-    joined = plan.join(used, (plan["source"].eqNullSafe(used["source"])) & (plan["label"].eqNullSafe(used["label"])) & (plan["target_share"] == used["target_share"]) & (plan["max_repeats"] == used["max_repeats"]), "left")
-    had = F.coalesce(used["used"].cast("double"), F.lit(0.0))
-    spent = (plan["rows"] == 0) | (plan["max_repeats"] <= 0) | ((used["drawn"] >= plan["rows"]) & (used["least"] >= plan["max_repeats"]))
-    share = F.when(plan["whole"] > 0, had / plan["whole"]).otherwise(0.0)
-    return joined.select(plan["source"], plan["label"], plan["target_share"], share.alias("reached_share"), plan["rows"], plan["epochs"], F.coalesce(spent & (plan["budget"] > had), F.lit(False)).alias("short"))
+    used = used.withColumnsRenamed({k: f"u_{k}" for k in key})
+    joined = plan.join(used, [F.col(k).eqNullSafe(F.col(f"u_{k}")) for k in key], "left")
+    had = F.coalesce(F.col("used").cast("double"), F.lit(0.0))
+    spent = (F.col("rows") == 0) | (F.col("max_repeats") <= 0) | ((F.col("drawn") >= F.col("rows")) & (F.col("least") >= F.col("max_repeats")))
+    share = F.when(F.col("whole") > 0, had / F.col("whole")).otherwise(0.0)
+    return joined.select("source", "label", "target_share", share.alias("reached_share"), "rows", "epochs", F.coalesce(spent & (F.col("budget") > had), F.lit(False)).alias("short"))

@@ -24,7 +24,22 @@ k AS (SELECT DISTINCT {_UUID.format('id')} AS sid FROM sessions),
 c AS (SELECT sid, bool_and(sound) AS sound FROM m GROUP BY sid)
 """
 
+_GAP = "[ \\t\\n\\x0B\\f\\r]*"
+_FIELD = f'(?:(?:^[^\\p{{L}}\\p{{N}}]*|[\\n\\r;]{_GAP}){_GAP}"?|[,{{]{_GAP}")([\\p{{L}}_][\\p{{L}}\\p{{N}}_-]*){_GAP}"?{_GAP}[:=]'
+_FIRST = f'^[^\\p{{L}}\\p{{N}}]*[\\p{{L}}_][\\p{{L}}\\p{{N}}_-]*{_GAP}"?{_GAP}[:=]'
+_BARE = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
+
+_RECORDS = f"""
+WITH r AS (SELECT row_id, label, text, coalesce(label IN (0, 1) AND regexp_matches(text, '[\\p{{L}}\\p{{N}}]'), false) AS part FROM combined_dataset),
+s AS (SELECT *, regexp_matches(text, '{_FIRST}') AND len(regexp_extract_all(text, '{_FIELD}')) >= 2 AS structured FROM r WHERE part),
+f AS (SELECT *, CASE WHEN structured THEN list_filter(string_split(regexp_replace(text, '{_FIELD}', chr(1) || '\\1' || chr(2), 'g'), chr(1)), lambda p: contains(p, chr(2))) ELSE [chr(2) || text] END AS fields FROM s),
+k AS (SELECT row_id, label, text, list_sort(list_transform(fields, lambda p: lower(string_split(p, chr(2))[1]) || chr(2) || {_BARE.format('string_split(p, chr(2))[-1]')})) AS key FROM f),
+g AS (SELECT *, min(row_id) OVER (PARTITION BY key, label) AS first_row_id, count(*) OVER (PARTITION BY key, label) AS copies FROM k)
+"""
+
 LLM_ORACLE_SQL: dict[str, str] = {
+    "p4_found": _RECORDS + "SELECT first_row_id, row_id FROM g WHERE row_id <> first_row_id",
+    "p4_records": _RECORDS + "SELECT row_id, CAST(label AS INT) AS label, text, copies FROM g WHERE row_id = first_row_id UNION ALL SELECT row_id, CAST(label AS INT), text, 1 FROM r WHERE NOT part",
     "p2_found": _SESSIONS + "SELECT coalesce(k.sid, c.sid) AS session_id FROM k FULL JOIN c ON k.sid = c.sid WHERE k.sid IS NULL OR c.sid IS NULL OR NOT c.sound",
     "p2_conversations": _SESSIONS
     + """,
