@@ -5,7 +5,6 @@ import pytest
 from tests.oracle import same
 from wardline.plans import catalogue
 
-SLOW = {"gbt_scores", "svm_scores", "silhouette_sweep", "cluster_members", "kmeans_families", "model_selection", "feature_importance", "rf_scores"}
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 
 
@@ -14,8 +13,7 @@ def test_equals_sql(name, spark, small):
     same(QUERIES[name], SQL[name], spark, small)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(name, spark, small):
     rows = QUERIES[name](spark, small)
-    assert rows.columns
-    rows.count()
+    assert rows.columns and rows.limit(1).count() == 1

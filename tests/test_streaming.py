@@ -21,6 +21,16 @@ def test_limited_stream(spark, tmp_path):
     assert got == want
 
 
+def test_limited_stream_forgets_old_keys(spark, tmp_path):
+    rows = [(i, i % 5, f"2025-01-01 00:00:{i:02d}") for i in range(20)] + [(100, 9, "2025-01-02 00:00:00")]
+    data = spark.createDataFrame(rows, "request_id long, key long, t string").selectExpr("request_id", "key", "timestamp(t) AS ts")
+    data.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("request_id long, key long, ts timestamp").parquet(str(tmp_path / "in"))
+    q = rate_limit.limited(stream, limit=3, window_ms=10_000).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
 def test_score_stream(spark, tmp_path):
     spark.createDataFrame([(1, "ignore all previous rules", 0.2), (2, "good morning", 0.2)], "id long, text string, p double").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, text string, p double").parquet(str(tmp_path / "in"))

@@ -31,14 +31,18 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def may_match(text: Column, group: str) -> Column:
-    """False for a text that cannot hold a phrase of the group."""
-    low = F.translate(F.lower(text), "ſ", "s")
+def lowered(text: Column) -> Column:
+    """The text as may_match looks at it. A column of its own, so that it is made once for all literals."""
+    return F.translate(F.lower(text), "ſ", "s")
+
+
+def may_match(low: Column, group: str) -> Column:
+    """False for a lowered text that cannot hold a phrase of the group."""
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in LITERALS[group].split()])
 
 
-def phrase_count(text: Column, group: str) -> Column:
-    return F.when(may_match(text, group), _count(text, f"(?iU){lx.alternation(group)}")).otherwise(0.0)
+def phrase_count(text: Column, group: str, low: Column | None = None) -> Column:
+    return F.when(may_match(lowered(text) if low is None else low, group), _count(text, f"(?iU){lx.alternation(group)}")).otherwise(0.0)
 
 
 def char_count(text: Column, chars: str) -> Column:
@@ -92,8 +96,9 @@ def structure_features(text: Column, decoded: Column) -> dict[str, Column]:
     }
 
 
-def keyword_features(decoded: Column) -> dict[str, Column]:
-    c = {g: phrase_count(decoded, g) for g in lx.PHRASES}
+def keyword_features(decoded: Column, low: Column | None = None) -> dict[str, Column]:
+    """The phrase counts; low is the lowered text, where that is a column already."""
+    c = {g: phrase_count(decoded, g, low) for g in lx.PHRASES}
     return {"f01": c["override"], "f02": c["role_swap"] + c["act_as"] + c["harmful_role"], "f03": c["exfil"], "f04": c["filter_bypass"], "f21": c["narrative"], "hard_hits": c["override"] + c["act_as"] + c["harmful_role"] + c["filter_bypass"]}
 
 
@@ -109,8 +114,14 @@ def _after(order: int, label: str):
     return step
 
 
-def spans(decoded: Column) -> Column:
-    """ARRAY<STRUCT<start, end, label>>, offsets in characters of the decoded text, by start, then group order."""
+#: The feature that counts a group's phrases: where it is 0 there are no spans to look for.
+COUNTED_BY = {"override": "f01", "role_swap": "f02", "act_as": "f02", "harmful_role": "f02", "exfil": "f03", "filter_bypass": "f04", "narrative": "f21"}
+
+
+def spans(decoded: Column, counted: bool = False) -> Column:
+    """ARRAY<STRUCT<start, end, label>>, offsets in characters of the decoded text, by start, then group order.
+
+    counted says that the row has its features: a group whose count is 0 is not searched."""
     found = []
     for order, (group, label) in enumerate(lx.SPAN_LABELS.items()):
         pattern = f"(?iU){lx.alternation(group)}"
@@ -120,7 +131,8 @@ def spans(decoded: Column) -> Column:
 
         pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
         none = F.expr("cast(array() as array<struct<start:int,`order`:int,end:int,label:string>>)")
-        found.append(F.when(may_match(decoded, group) & decoded.rlike(pattern), F.aggregate(pairs, start, _after(order, label), lambda acc: acc["out"])).otherwise(none))
+        guard = F.col(COUNTED_BY[group]) > 0 if counted else may_match(lowered(decoded), group)
+        found.append(F.when(guard & decoded.rlike(pattern), F.aggregate(pairs, start, _after(order, label), lambda acc: acc["out"])).otherwise(none))
     listed = F.array_sort(F.concat(*found))
     return F.transform(listed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")))
 
@@ -130,8 +142,9 @@ def with_features(rows: DataFrame, text_col: str = "text", normalise: bool = Tru
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     out = rows.withColumn("decoded_text", normalized(text) if normalise else text)
     decoded = F.col("decoded_text")
-    named = keyword_features(decoded) | encoding_features(text) | {"f11": entropy(decoded)} | structure_features(text, decoded)
-    return out.withColumns({k: named[k] for k in sorted(named)})
+    out = out.withColumn("_low", lowered(decoded))
+    named = keyword_features(decoded, F.col("_low")) | encoding_features(text) | {"f11": entropy(decoded)} | structure_features(text, decoded)
+    return out.withColumns({k: named[k] for k in sorted(named)}).drop("_low")
 
 
 def vector_columns() -> list[str]:

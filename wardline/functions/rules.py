@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import lexicon as lx
-from wardline.functions.features import spans, total
+from wardline.functions.features import spans, total, vector_columns
 
 
 def narrative_boosts(p: Column, f21: Column) -> Column:
@@ -57,16 +57,20 @@ def family(raw: dict[str, Column], labels: Column) -> Column:
     return F.coalesce(by_span, by_score)
 
 
-def scored(rows: DataFrame, probability: str) -> DataFrame:
-    """rows, which have features, with spans, confidence, rule_boost_applied, verdict, label, attack_family, family_scores.
+def scored(rows: DataFrame, probability: str, clusters=None) -> DataFrame:
+    """rows, which have features, with spans, confidence, rule_boost_applied, verdict, label, attack_family, family_scores;
+    with clusters, a fitted model of them, also cluster_id and cluster_label.
 
-    Family and scores are of blocked rows only; others have a null family and an empty map."""
+    Family, scores and cluster are of blocked rows only; others have a null family and cluster and an empty map."""
     p0 = F.col(f"`{probability}`")
     after = boosted(p0, F.col("f21"), F.col("hard_hits"))
     applied = narrative_boosts(p0, F.col("f21")) | ((F.col("hard_hits") >= 1) & (p0 < lx.KEYWORD_TO))
-    out = rows.withColumns({"spans": spans(F.col("decoded_text")), "after": after, "rule_boost_applied": applied})
+    out = rows.withColumns({"spans": spans(F.col("decoded_text"), counted=True), "after": after, "rule_boost_applied": applied})
     out = out.withColumns({"verdict": verdict(F.col("after")), "confidence": F.round("after", 4)})
     raw = raw_family_scores()
     block = F.col("verdict") == "BLOCK"
     scores = F.create_map(*[x for k, v in softmax(raw).items() for x in (F.lit(k), v)])
+    if clusters is not None:
+        out = out.withColumn("cluster_id", F.when(block, clusters.cluster_id([F.col(c) for c in vector_columns()])))
+        out = out.withColumn("cluster_label", clusters.cluster_label(F.col("cluster_id")))
     return out.withColumns({"label": block.cast("int"), "attack_family": F.when(block, family(raw, F.col("spans.label"))), "family_scores": F.when(block, scores).otherwise(F.create_map().cast("map<string,double>"))}).drop("after")

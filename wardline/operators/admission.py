@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW_MS, LIMIT = 60_000, 60
@@ -64,6 +64,6 @@ def concurrency(intervals: DataFrame, cap: int) -> DataFrame:
     return open_.select("request_id", (F.col("local") + F.col("carried") - 1).alias("running"), (F.col("local") + F.col("carried") - 1 >= cap).alias("over_cap"))
 
 
-def log_level(status, latency_ms):
-    """ERROR from status 500, WARNING from 400 or above a second, else INFO."""
-    return F.when(status >= 500, "ERROR").when((status >= 400) | (latency_ms > 1000), "WARNING").otherwise("INFO")
+def log_level(status: Column) -> Column:
+    """ERROR from status 500, WARNING from 400, else INFO."""
+    return F.when(status >= 500, "ERROR").when(status >= 400, "WARNING").otherwise("INFO")

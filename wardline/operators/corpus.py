@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# The blocks of characters above the first one that counts, in the order in which they are tried.
+SCRIPTS_ABOVE = 0x400
+SCRIPT_BLOCKS = [("Cyrillic", 0x400, 0x4FF), ("Arabic", 0x600, 0x6FF), ("Japanese", 0x3040, 0x30FF), ("CJK", 0x4E00, 0x9FFF), ("Korean", 0xAC00, 0xD7FF), ("Devanagari", 0x900, 0x97F), ("Greek", 0x370, 0x3FF), ("Hebrew", 0x5D0, 0x5FF)]
+
+
 def stable_order(*cols: str, seed: str = "42") -> Column:
     """A shuffle that any engine reproduces: the MD5 of the values and the seed."""
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(seed)))
@@ -99,22 +104,22 @@ def histogram(rows: DataFrame, value: Column, by: str, bins: int = 60) -> DataFr
 
 
 def script_of(ch: Column) -> Column:
-    """The script block of a character; the first matching range counts."""
+    """The script block of a character above U+0400; null for those up to there."""
     cp = F.ascii(ch)  # the code point of the first character, in Spark
-    ranges = [("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("hangul", 0xAC00, 0xD7AF), ("kana", 0x3040, 0x30FF), ("cjk", 0x4E00, 0x9FFF)]
-    return F.coalesce(*[F.when(cp.between(lo, hi), name) for name, lo, hi in ranges], F.lit("other"))
+    return F.when(cp > SCRIPTS_ABOVE, F.coalesce(*[F.when(cp.between(lo, hi), name) for name, lo, hi in SCRIPT_BLOCKS], F.lit("other")))
 
 
 def script_histogram(rows: DataFrame) -> DataFrame:
-    """Characters per script. Equal characters are counted before scripts are looked up."""
+    """Characters above U+0400 per script. Equal characters are counted before scripts are looked up."""
     chars = rows.select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
-    return chars.groupBy(script_of(F.col("ch")).alias("script")).agg(F.sum("n").alias("n"))
+    return chars.withColumn("script", script_of(F.col("ch"))).where("script is not null").groupBy("script").agg(F.sum("n").alias("n"))
 
 
 def imbalance(rows: DataFrame) -> DataFrame:
-    """Counts per label, their ratio, and what it calls for."""
+    """Counts per label, negatives to a positive, and what that calls for: below 2 balanced weights suffice, below 4 they are
+    recommended, else (or without positives, where the ratio is null) resampling."""
     c = rows.agg(F.count_if(F.col("label") == 0).alias("negatives"), F.count_if(F.col("label") == 1).alias("positives"))
-    ratio = F.greatest("negatives", "positives") / F.least("negatives", "positives")
+    ratio = F.when(F.col("positives") > 0, F.col("negatives") / F.col("positives"))
     return c.withColumn("ratio", F.round(ratio, 4)).withColumn("decision", F.when(ratio < 2, "balanced").when(ratio < 4, "weight").otherwise("resample"))
 
 

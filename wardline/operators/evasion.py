@@ -35,14 +35,19 @@ def paired_verdicts(rows: DataFrame, text: str, normalise: bool = True) -> DataF
 
 
 def evasion_rates(pairs: DataFrame) -> DataFrame:
-    """Per kind: n, clean_blocked, evaded_blocked (of those) and the evasion rate."""
-    both = F.count_if(F.col("clean_blocked") & F.col("evaded_blocked"))
-    c = pairs.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("clean_blocked").alias("clean_blocked"), both.alias("evaded_blocked"))
+    """Per kind: n, how many clean texts and how many mutated ones are blocked, and the evasion rate, which is below 0
+    where mutation gets more texts blocked."""
+    c = pairs.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("clean_blocked").alias("clean_blocked"), F.count_if("evaded_blocked").alias("evaded_blocked"))
     return c.withColumn("evasion_rate", F.when(F.col("n") > 0, F.round(1 - F.col("evaded_blocked") / F.greatest("clean_blocked", F.lit(1)), 4)).otherwise(0.0))
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rates by kind side by side, a missing one being 0, and what came of it: PASS at half or less, PARTIAL if lower."""
+    """kind, before, after, reduction of the kinds measured before, a rate that is missing after being 0."""
     b, a = before.select("kind", F.col("evasion_rate").alias("before")), after.select("kind", F.col("evasion_rate").alias("after"))
-    j = b.join(a, "kind", "full").fillna(0.0, ["before", "after"])
-    return j.withColumn("outcome", F.when(F.col("after") <= F.col("before") * 0.5, "PASS").when(F.col("after") < F.col("before"), "PARTIAL").otherwise("FAIL"))
+    return b.join(a, "kind", "left").fillna(0.0, ["before", "after"]).withColumn("reduction", F.col("before") - F.col("after"))
+
+
+def overall(compared: DataFrame) -> DataFrame:
+    """before, after: the means over the kinds, and the verdict on them: PASS at half or less, PARTIAL if lower, else FAIL."""
+    m = compared.agg(F.coalesce(F.avg("before"), F.lit(0.0)).alias("before"), F.coalesce(F.avg("after"), F.lit(0.0)).alias("after"))
+    return m.withColumn("outcome", F.when(F.col("after") <= F.col("before") * 0.5, "PASS").when(F.col("after") < F.col("before"), "PARTIAL").otherwise("FAIL"))

@@ -42,6 +42,19 @@ def rates(counts: DataFrame) -> DataFrame:
     return counts.select(over(tp + tn, tp + tn + fp + fn).alias("accuracy"), over(tp, tp + fp).alias("precision"), over(tp, tp + fn).alias("recall"), over(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def probe_report(rows: DataFrame, by: str, label: str, predicted: Column) -> DataFrame:
+    """Per group of probes: total, injections, benign, accuracy, and the recall over injections alone (0 without any)."""
+    hit = (predicted == F.col(label)).cast("int")
+    recall = F.coalesce(F.avg(F.when(F.col(label) == 1, predicted)), F.lit(0.0))
+    return rows.groupBy(by).agg(F.count("*").alias("total"), F.count_if(F.col(label) == 1).alias("injections"), F.count_if(F.col(label) == 0).alias("benign"), F.round(F.avg(hit), 4).alias("accuracy"), F.round(recall, 4).alias("injection_recall"))
+
+
+def top_by_size(columns: list[str], n: int = 5) -> Column:
+    """ARRAY<STRUCT<feature, value>> of the n columns farthest from 0, equal ones in the order given; values in 4 places."""
+    each = F.array(*[F.struct((-F.abs(F.col(c).cast("double"))).alias("far"), F.lit(i).alias("at"), F.lit(c).alias("feature"), F.round(F.col(c).cast("double"), 4).alias("value")) for i, c in enumerate(columns)])
+    return F.transform(F.slice(F.array_sort(each), 1, n), lambda s: F.struct(s["feature"].alias("feature"), s["value"].alias("value")))
+
+
 def rank_sums(rows: DataFrame, score: str, label: str) -> DataFrame:
     """n1, n0, u, auc, tie_term, z: the Mann-Whitney statistic of the positives with average ranks, and its tie-corrected
     normal deviate. The area under the ROC curve is u over n1 n0."""
@@ -86,7 +99,8 @@ def average_precision(rows: DataFrame, score: str, label: str) -> DataFrame:
 def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, r of every pair of columns, from one aggregate; pairs with a constant column are left out."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = rows.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    r = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    one = rows.agg(*[r(a, b).alias(f"{a}|{b}") for a, b in pairs])
     listed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])
     return one.select(F.explode(listed).alias("p")).select("p.a", "p.b", F.round("p.r", 6).alias("r")).where("r is not null and not isnan(r)")
 

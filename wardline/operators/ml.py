@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from math import pi, sqrt
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.features import vector_columns, with_features
 from wardline.operators import metrics
+from wardline.operators.boosting import BoostedModel, boosted
 from wardline.session import materialised, spread
 
-# The families that clusters are named by, with the features that speak for each, and the score of the
-# family no feature speaks for.
-FAMILY_FEATURES = {
-    "encoding_obfuscation": ["f05", "f06", "f07", "f08", "f09", "f10"],
-    "instruction_override": ["f01", "f18"],
-    "role_play_jailbreak": ["f02", "f21"],
-    "context_exfiltration": ["f03"],
-    "delimiter_escape": ["f04", "f16"],
-    "indirect_injection": [],
+# The families that clusters are named by, in order, with the feature that speaks for each, and the score of
+# the family no feature speaks for.
+FAMILY_FEATURE = {
+    "instruction_override": "f01",
+    "role_play_jailbreak": "f02",
+    "context_exfiltration": "f03",
+    "delimiter_escape": "f04",
+    "encoding_obfuscation": "f10",
+    "indirect_injection": None,
 }
 NO_FEATURE_SCORE = 0.001
+#: Clusterings that run at the same time.
+RUNS_AT_ONCE = 8
 
 
 def labelled_vectors(rows: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
@@ -51,8 +55,8 @@ def forest(data: DataFrame, label: str = "label", trees: int = 300, depth: int =
     return Pipeline(stages=[RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, maxBins=64, seed=seed)]).fit(data)
 
 
-def boosting(data: DataFrame, label: str = "label", rounds: int = 300, depth: int = 6, seed: int = 42) -> PipelineModel:
-    return Pipeline(stages=[GBTClassifier(labelCol=label, weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed)]).fit(data)
+def boosting(data: DataFrame, label: str = "label", rounds: int = 300, depth: int = 6) -> BoostedModel:
+    return boosted(data, label, rounds, depth)
 
 
 def fourier_features(data: DataFrame, size: int = 256, gamma: float | None = None, seed: int = 42, scaler: StandardScalerModel | None = None) -> DataFrame:
@@ -108,8 +112,10 @@ def kernel_svm(data: DataFrame, label: str = "label", size: int = 256, seed: int
     return kernel_machine(data, label, size, seed).probabilities(data)
 
 
-def probabilities(model: PipelineModel, data: DataFrame) -> DataFrame:
+def probabilities(model: PipelineModel | BoostedModel | KernelSvm, data: DataFrame) -> DataFrame:
     """data with p, the probability of label 1."""
+    if not isinstance(model, PipelineModel):
+        return model.probabilities(data)
     return model.transform(data).withColumn("p", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction", "scaled")
 
 
@@ -128,9 +134,59 @@ def importances(model: PipelineModel, top: int = 10) -> list[tuple[str, float, b
 
 
 def best_kmeans(data: DataFrame, k: int = 6, restarts: int = 20, column: str = "scaled") -> KMeansModel:
-    """Of several runs from different seeds the one with the lowest cost; of equal ones the first."""
-    models = [KMeans(k=k, seed=s, featuresCol=column, predictionCol="cluster_id").fit(data) for s in range(restarts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
+    """Of several runs from different seeds the one with the lowest cost; of equal ones the first. The runs share the cluster."""
+    held = data.select(column).persist()
+    try:
+        with ThreadPoolExecutor(RUNS_AT_ONCE) as pool:
+            models = list(pool.map(lambda s: KMeans(k=k, seed=s, featuresCol=column, predictionCol="cluster_id").fit(held), range(restarts)))
+        return min(models, key=lambda m: m.summary.trainingCost)
+    finally:
+        held.unpersist()
+
+
+@dataclass
+class Clusters:
+    """Clusters of attacks as scoring uses them: how features are scaled, the centres, their sizes and labels."""
+
+    means: list[float]
+    deviations: list[float]
+    centres: list[list[float]]
+    counts: list[int]
+    labels: dict[int, str]
+
+    def cluster_id(self, features: list[Column]) -> Column:
+        """The nearest centre's number; of equally near ones the first."""
+        scaled = F.array(*[(f - m) / s if s > 0 else F.lit(0.0) for f, m, s in zip(features, self.means, self.deviations)])
+        centres = F.array(*[F.array(*map(F.lit, centre)) for centre in self.centres])
+        far = F.transform(centres, lambda c: F.aggregate(F.zip_with(scaled, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
+        return (F.array_position(far, F.array_min(far)) - 1).cast("int")
+
+    def cluster_label(self, cluster_id: Column) -> Column:
+        names = F.create_map(*[F.lit(x) for pair in self.labels.items() for x in pair])
+        return F.when(cluster_id.isNotNull(), F.coalesce(F.try_element_at(names, cluster_id), F.lit("unknown")))
+
+    def top_features(self, n: int = 5) -> list[tuple[int, str, int, list[tuple[str, float]]]]:
+        """(cluster, label, count, the n features in which its centre is farthest from the mean, with their values)."""
+        names = vector_columns()
+        out = []
+        for c, centre in enumerate(self.centres):
+            order = sorted(range(len(centre)), key=lambda i: (-abs(centre[i]), i))[:n]
+            out.append((c, self.labels.get(c, "unknown"), self.counts[c], [(names[i], round(float(centre[i]), 4)) for i in order]))
+        return out
+
+
+def attack_clusters(attacks: DataFrame, k: int = 6, restarts: int = 20) -> tuple[Clusters, DataFrame]:
+    """The clusters of attacks, which have features, and attacks with cluster_id."""
+    names = vector_columns()
+    x = vector_to_array("features")
+    stats = attacks.agg(*[F.avg(x[i]).alias(f"m{i}") for i in range(len(names))], *[F.stddev_pop(x[i]).alias(f"s{i}") for i in range(len(names))]).first()
+    ready = scaled(attacks)
+    model = best_kmeans(ready, k, restarts)
+    centres = [c.tolist() for c in model.clusterCenters()]
+    clustered = model.transform(ready)
+    sizes = {r["cluster_id"]: r["count"] for r in clustered.groupBy("cluster_id").count().collect()}
+    clusters = Clusters([stats[f"m{i}"] for i in range(len(names))], [stats[f"s{i}"] for i in range(len(names))], centres, [sizes.get(c, 0) for c in range(len(centres))], name_clusters(centres))
+    return clusters, clustered
 
 
 def scaled(data: DataFrame) -> DataFrame:
@@ -151,8 +207,8 @@ def name_clusters(centres: list[list[float]]) -> dict[int, str]:
     at = {n: i for i, n in enumerate(vector_columns())}
     cells = []
     for c, centre in enumerate(centres):
-        for f, (family, features) in enumerate(FAMILY_FEATURES.items()):
-            score = sum(max(0.0, centre[at[x]]) for x in features) / len(features) if features else NO_FEATURE_SCORE
+        for f, (family, feature) in enumerate(FAMILY_FEATURE.items()):
+            score = max(0.0, centre[at[feature]]) if feature else NO_FEATURE_SCORE
             cells.append((-score, c, f, family))
     named: dict[int, str] = {}
     for _, c, _, family in sorted(cells):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.schemas import HISTORY_TURNS, PREVIEW_CHARS
+from wardline.session import materialised
 
 
 def uuid_text(raw: Column) -> Column:
@@ -17,14 +18,19 @@ def uuid_text(raw: Column) -> Column:
 def latest_by(rows: DataFrame, key: str, newest: str) -> DataFrame:
     """Of the rows with an equal key the one with the greatest `newest`; aggregates before it shuffles."""
     others = [c for c in rows.columns if c != key]
-    best = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(newest)).alias("_row"))
+    # Of rows equally new the one with the greatest content, so that the choice doesn't hang on the order of the rows.
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(F.col(newest), F.xxhash64(*others))).alias("_row"))
     return best.select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
-def clean_messages(classifications: DataFrame) -> DataFrame:
-    """One row per message id, with the session id in one form and the verdict in upper case."""
-    rows = classifications.withColumns({"session_id": uuid_text(F.col("session_id")), "verdict": F.upper(F.trim("verdict"))})
-    return latest_by(rows, "id", "ingested_at")
+def clean_messages(classifications: DataFrame, *columns: str) -> DataFrame:
+    """One row per message id, with the session id in one form and the verdict in upper case; only the named columns, if any
+    are named, are read and shuffled. ingested_at decides, and id and session_id always come out."""
+    named = dict.fromkeys(["id", "session_id", *columns]) if columns else classifications.columns
+    rows = classifications.select(*dict.fromkeys([*named, "ingested_at"]))
+    rows = rows.withColumn("session_id", uuid_text(F.col("session_id")))
+    rows = rows.withColumn("verdict", F.upper(F.trim("verdict"))) if "verdict" in rows.columns else rows
+    return latest_by(rows, "id", "ingested_at").select(*named)
 
 
 def clean_sessions(sessions: DataFrame) -> DataFrame:
@@ -59,10 +65,34 @@ def family_breakdown(messages: DataFrame) -> DataFrame:
     return messages.where("attack_family is not null and verdict = 'BLOCK'").groupBy("session_id", "attack_family").agg(F.count("*").alias("n"))
 
 
+#: A session with more messages than this, and than HOT_SHARE of all, is worked on in pieces.
+HOT_ROWS, HOT_SHARE = 100_000, 0.001
+
+
 def trend_points(messages: DataFrame, last: int = 10) -> DataFrame:
-    """Every message with the block rate over it and the up to nine before it in its session."""
-    w = Window.partitionBy("session_id").orderBy("created_at", "id").rowsBetween(-(last - 1), 0)
-    return messages.withColumn("rolling_block_rate", F.round(F.avg(_blocked()).over(w), 4))
+    """Every message with the block rate over it and the up to nine before it in its session.
+
+    A hot session's messages, of which there are at most 1 / HOT_SHARE, are split into ranges of time; each range gets the
+    last messages before it along, so that no session is one task.
+    """
+    order = ["created_at", "id"]
+    rate = F.round(F.avg(_blocked()).over(Window.partitionBy("session_id").orderBy(*order).rowsBetween(-(last - 1), 0)), 4)
+    sizes = messages.groupBy("session_id").agg(F.count("*").alias("_n"))
+    hot = materialised(sizes.where(F.col("_n") > max(HOT_ROWS, int(messages.count() * HOT_SHARE))).select("session_id"))
+    if not hot.limit(1).count():
+        return messages.withColumn("rolling_block_rate", rate)
+    few = messages.join(F.broadcast(hot), "session_id", "left_anti").withColumn("rolling_block_rate", rate)
+    pieces = materialised(messages.join(F.broadcast(hot), "session_id").repartitionByRange("session_id", *order).withColumn("_piece", F.spark_partition_id()))
+    back = F.row_number().over(Window.partitionBy("session_id", "_piece").orderBy(*[F.desc(c) for c in order]))
+    tails = pieces.withColumn("_back", back).where(F.col("_back") < last).drop("_back")
+    tails = materialised(tails.withColumn("_at", F.row_number().over(Window.partitionBy("session_id").orderBy(*order))))  # last - 1 rows a piece
+    upto = Window.partitionBy("session_id").orderBy("_piece")
+    starts = tails.groupBy("session_id", "_piece").agg(F.count("*").alias("_c")).withColumn("_start", F.sum("_c").over(upto) - F.col("_c"))
+    wanted = starts.where(F.col("_start") > 0).select("session_id", "_piece", F.explode(F.sequence(F.greatest(F.col("_start") - last + 2, F.lit(1)), F.col("_start"))).alias("_at"))
+    carried = tails.drop("_piece").join(wanted.withColumn("_at", F.col("_at").cast("int")), ["session_id", "_at"]).drop("_at").withColumn("_own", F.lit(False))
+    local = Window.partitionBy("session_id", "_piece").orderBy(*order).rowsBetween(-(last - 1), 0)
+    many = pieces.withColumn("_own", F.lit(True)).unionByName(carried).withColumn("rolling_block_rate", F.round(F.avg(_blocked()).over(local), 4)).where("_own")
+    return few.unionByName(many.select(*few.columns))
 
 
 def session_list(sessions: DataFrame, limit: int = 100) -> DataFrame:
@@ -108,8 +138,30 @@ def recent_turns(messages: DataFrame, turns: int = HISTORY_TURNS) -> DataFrame:
     return ranked.where(F.col("_r") <= turns).withColumn("role", F.when(F.col("side") == 0, "user").otherwise("assistant")).drop("side")
 
 
-def explanation(family: Column, scores: Column) -> Column:
-    """A sentence on a blocked message: the family and the three highest scores in percent."""
+# What the families are called where users read them.
+FAMILY_NAMES = {
+    "instruction_override": "Instruction Override",
+    "role_play_jailbreak": "Role-Play Jailbreak",
+    "context_exfiltration": "Context Exfiltration",
+    "encoding_obfuscation": "Encoding / Obfuscation",
+    "delimiter_escape": "Delimiter Escape",
+    "indirect_injection": "Indirect Injection",
+}
+
+
+def family_name(family: Column) -> Column:
+    """The name of a family; one without name is called by its own, null unknown."""
+    names = F.create_map(*[F.lit(x) for pair in FAMILY_NAMES.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, family), family, F.lit("unknown"))
+
+
+def percent(share: Column) -> Column:
+    """A share as whole percent, halves to even."""
+    return F.concat(F.bround(share * 100).cast("int").cast("string"), F.lit("%"))
+
+
+def explanation(family: Column, scores: Column, confidence: Column) -> Column:
+    """A sentence on a blocked message: the family, the confidence and the three highest scores, ties in order of name."""
     entries = F.slice(F.array_sort(F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k")))), 1, 3)
-    parts = F.transform(entries, lambda e: F.concat(F.replace(e["k"], F.lit("_"), F.lit(" ")), F.lit(" "), F.format_string("%d", F.round(-e["v"] * 100).cast("int")), F.lit("%")))
-    return F.concat(F.lit("Blocked as "), F.replace(family, F.lit("_"), F.lit(" ")), F.lit(": "), F.array_join(parts, ", "))
+    parts = F.transform(entries, lambda e: F.concat(family_name(e["k"]), F.lit(" ("), percent(-e["v"]), F.lit(")")))
+    return F.concat(F.lit("Blocked as "), family_name(family), F.lit(" with "), percent(confidence), F.lit(" confidence. Top signals: "), F.array_join(parts, ", "))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.plans import corpus_queries, feature_queries, metric_queries, model_queries, session_queries  # noqa: F401  (they register)
+from wardline.plans import corpus_queries, feature_queries, metric_queries, model_queries, session_queries, source_queries  # noqa: F401  (they register)
 from wardline.plans.registry import QUERIES, SQL, Query
 
 

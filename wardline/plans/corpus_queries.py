@@ -56,7 +56,7 @@ def quantile_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped.groupBy("label").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("bigint").alias("longest"))
 
 
-@query(_C + "SELECT count_if(label = 0) AS negatives, count_if(label = 1) AS positives, round(greatest(negatives, positives) / least(negatives, positives), 4) AS ratio, CASE WHEN greatest(negatives, positives) / least(negatives, positives) < 2 THEN 'balanced' WHEN greatest(negatives, positives) / least(negatives, positives) < 4 THEN 'weight' ELSE 'resample' END AS decision FROM c")
+@query(_C + "SELECT count_if(label = 0) AS negatives, count_if(label = 1) AS positives, round(negatives / positives, 4) AS ratio, CASE WHEN negatives / positives < 2 THEN 'balanced' WHEN negatives / positives < 4 THEN 'weight' ELSE 'resample' END AS decision FROM c")
 def imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.imbalance(_clean(spark, sf_dir))
 
@@ -117,11 +117,13 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.group_split(_clean(spark, sf_dir, "template_id").select("row_id", "template_id"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS shared_templates")
+@query(_C + _GROUPS + ", p AS (SELECT c.template_id, CASE WHEN r <= ceil(n * 0.19) THEN 'test' ELSE 'train' END AS part FROM c JOIN g ON c.template_id = g.template_id) SELECT (SELECT count(*) FROM (SELECT template_id FROM p WHERE part = 'train' INTERSECT SELECT template_id FROM p WHERE part = 'test')) AS shared_templates, (SELECT count(DISTINCT template_id) FROM p WHERE part = 'test') AS test_templates, (SELECT count(*) FROM p WHERE part = 'test') AS test_rows")
 def split_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = ops.group_split(_clean(spark, sf_dir, "template_id").select("row_id", "template_id"))
     templates = lambda part: parts.where(F.col("part") == part).select("template_id")
-    return templates("train").intersect(templates("test")).agg(F.count("*").alias("shared_templates"))
+    shared = templates("train").intersect(templates("test")).agg(F.count("*").alias("shared_templates"))
+    tested = templates("test").groupBy("template_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("test_templates"), F.coalesce(F.sum("n"), F.lit(0)).alias("test_rows"))
+    return shared.join(F.broadcast(tested))
 
 
 _CAPPED = f", k AS (SELECT row_id, template_id, row_number() OVER (PARTITION BY template_id ORDER BY {_H.format('row_id')}, row_id) AS round FROM c WHERE template_id IS NOT NULL QUALIFY round <= 5)"
@@ -149,9 +151,9 @@ def non_ascii_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT CASE WHEN cp BETWEEN 65 AND 591 THEN 'latin' WHEN cp BETWEEN 880 AND 1023 THEN 'greek' WHEN cp BETWEEN 1024 AND 1327 THEN 'cyrillic' WHEN cp BETWEEN 1424 AND 1535 THEN 'hebrew' WHEN cp BETWEEN 1536 AND 1791 THEN 'arabic'
- WHEN cp BETWEEN 2304 AND 2431 THEN 'devanagari' WHEN cp BETWEEN 3584 AND 3711 THEN 'thai' WHEN cp BETWEEN 44032 AND 55215 THEN 'hangul' WHEN cp BETWEEN 12352 AND 12543 THEN 'kana' WHEN cp BETWEEN 19968 AND 40959 THEN 'cjk' ELSE 'other' END AS script, CAST(sum(n) AS BIGINT) AS n
-FROM (SELECT unicode(ch) AS cp, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1) GROUP BY 1
+SELECT CASE WHEN cp <= 1279 THEN 'Cyrillic' WHEN cp BETWEEN 1536 AND 1791 THEN 'Arabic' WHEN cp BETWEEN 12352 AND 12543 THEN 'Japanese' WHEN cp BETWEEN 19968 AND 40959 THEN 'CJK'
+ WHEN cp BETWEEN 44032 AND 55295 THEN 'Korean' WHEN cp BETWEEN 2304 AND 2431 THEN 'Devanagari' WHEN cp BETWEEN 1488 AND 1535 THEN 'Hebrew' ELSE 'other' END AS script, CAST(sum(n) AS BIGINT) AS n
+FROM (SELECT unicode(ch) AS cp, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1) WHERE cp > 1024 GROUP BY 1
 """)
 def script_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.script_histogram(table(spark, sf_dir, "documents").select("text"))

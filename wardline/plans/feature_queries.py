@@ -106,8 +106,8 @@ SELECT row_id, CAST({_matches('override')} AS DOUBLE) AS f01, CAST({_matches('ro
 FROM combined_dataset WHERE text IS NOT NULL
 """)
 def feat_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _corpus(spark, sf_dir).where("text is not null")
-    return rows.select("row_id", *[v.alias(k) for k, v in fx.keyword_features(F.col("text")).items()])
+    rows = _corpus(spark, sf_dir).where("text is not null").withColumn("low", fx.lowered(F.col("text")))
+    return rows.select("row_id", *[v.alias(k) for k, v in fx.keyword_features(F.col("text"), F.col("low")).items()])
 
 
 @query()
@@ -131,8 +131,8 @@ b AS (SELECT *, CASE WHEN f21 >= 2 AND p < 0.49::DOUBLE THEN least(p + least(f21
 SELECT row_id, round(boosted, 4) AS confidence, CASE WHEN boosted >= 0.60::DOUBLE THEN 'BLOCK' ELSE 'ALLOW' END AS verdict FROM b
 """)
 def rule_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _corpus(spark, sf_dir).where("text is not null").selectExpr("row_id", "text", f"{_STAND} AS p")
-    k = fx.keyword_features(F.col("text"))
+    rows = _corpus(spark, sf_dir).where("text is not null").selectExpr("row_id", "text", f"{_STAND} AS p").withColumn("low", fx.lowered(F.col("text")))
+    k = fx.keyword_features(F.col("text"), F.col("low"))
     after = rows.select("row_id", rules.boosted(F.col("p"), k["f21"], k["hard_hits"]).alias("b"))
     return after.select("row_id", F.round("b", 4).alias("confidence"), rules.verdict(F.col("b")).alias("verdict"))
 
@@ -141,7 +141,7 @@ def rule_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def family_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.with_features(_corpus(spark, sf_dir))
     raw = rules.raw_family_scores()
-    return rows.select("row_id", *[v.alias(k) for k, v in rules.softmax(raw).items()], rules.family(raw, fx.spans(F.col("decoded_text"))["label"]).alias("family"))
+    return rows.select("row_id", *[v.alias(k) for k, v in rules.softmax(raw).items()], rules.family(raw, fx.spans(F.col("decoded_text"), counted=True)["label"]).alias("family"))
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import mutate
-from wardline.operators import admission, evasion, metrics
+from wardline.operators import admission, errors, evasion, metrics
 from wardline.plans.registry import query, table
 from wardline.session import spread
 
@@ -66,10 +66,20 @@ def error_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).where("quality >= 0.7D and label = 0").orderBy(F.desc("quality"), "row_id").limit(10)
 
 
-@query("SELECT source, label, round(avg(CASE WHEN quality >= 0.7::DOUBLE THEN 1 ELSE 0 END), 6) AS hit_rate, count(*) AS n FROM combined_dataset WHERE label IN (0, 1) AND quality IS NOT NULL AND NOT isnan(quality) GROUP BY 1, 2")
+@query("""
+SELECT lower(trim(source)) AS technique, count(*) AS total, count_if(label = 1) AS injections, count_if(label = 0) AS benign, round(avg(CASE WHEN (quality >= 0.5::DOUBLE) = (label = 1) THEN 1 ELSE 0 END), 4) AS accuracy,
+ round(coalesce(avg(CASE WHEN label = 1 THEN CASE WHEN quality >= 0.5::DOUBLE THEN 1 ELSE 0 END END), 0), 4) AS injection_recall
+FROM combined_dataset WHERE label IN (0, 1) AND quality IS NOT NULL AND NOT isnan(quality) AND source IS NOT NULL AND split IS NOT NULL AND lower(trim(split)) = 'test' GROUP BY 1
+""")
 def probe_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "combined_dataset").where("label in (0, 1) and quality is not null and not isnan(quality)")
-    return rows.groupBy("source", "label").agg(F.round(F.avg((F.col("quality") >= 0.7).cast("int")), 6).alias("hit_rate"), F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "combined_dataset").where("label in (0, 1) and quality is not null and not isnan(quality) and source is not null and lower(trim(split)) = 'test'")
+    return metrics.probe_report(rows.withColumn("technique", F.lower(F.trim("source"))), "technique", "label", (F.col("quality") >= 0.5).cast("int"))
+
+
+@query()
+def error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread(table(spark, sf_dir, "combined_dataset").where("label in (0, 1) and text is not null and quality is not null and not isnan(quality)").select("row_id", "text", "label", "quality"))
+    return errors.error_report(rows, "quality")
 
 
 _N = "SELECT l_quantity::DOUBLE AS quantity, l_extendedprice::DOUBLE AS price, l_discount::DOUBLE AS discount, l_tax::DOUBLE AS tax, l_returnflag AS flag FROM lineitem"
@@ -95,12 +105,23 @@ def group_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.group_deltas(_numbers(spark, sf_dir), "flag", _NAMES).withColumn("delta", F.col("delta") + F.lit(0.0))
 
 
-@query()
+@query(f"WITH n AS ({_N}) SELECT " + ", ".join(f"round(({c} - (SELECT avg({c}) FROM n)) / (SELECT stddev_pop({c}) FROM n), 6) + 0.0 AS {c}" for c in _NAMES) + ", flag FROM n")
 def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.standardised(_numbers(spark, sf_dir), _NAMES)
+    rows = metrics.standardised(_numbers(spark, sf_dir), _NAMES)
+    return rows.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in _NAMES})
 
 
-@query()
+_HOMOGLYPHS = ("aeopcxiy", "аеорсхіу")
+_WIDE = ("".join(map(chr, range(97, 123))), "".join(map(chr, range(0xFF41, 0xFF5B))))
+
+
+@query(f"""
+WITH r AS (SELECT row_id, text FROM combined_dataset WHERE text IS NOT NULL)
+SELECT row_id, 'homoglyph' AS kind, translate(text, '{_HOMOGLYPHS[0]}', '{_HOMOGLYPHS[1]}') AS evaded FROM r
+UNION ALL SELECT row_id, 'zero_width', regexp_replace(text, '((?:[A-Za-z][^A-Za-z]*){{2}}[A-Za-z])', '\\1' || chr(8203), 'g') FROM r
+UNION ALL SELECT row_id, 'fullwidth', translate(text, '{_WIDE[0]}', '{_WIDE[1]}') FROM r
+UNION ALL SELECT row_id, 'leetspeak', translate(text, 'aeiostAEIOST', '431057431057') FROM r
+""")
 def mutators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evasion.mutated(table(spark, sf_dir, "combined_dataset").where("text is not null").select("row_id", "text"), "text").select("row_id", "kind", "evaded")
 
@@ -123,13 +144,22 @@ def evasion_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evasion.evasion_rates(evasion.paired_verdicts(_attacks(spark, sf_dir), "text"))
 
 
-@query()
-def evasion_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evasion.seed_cycle(spark, 10 * len(mutate.SEEDS))
+def _compared(spark: SparkSession) -> DataFrame:
+    rows = evasion.seed_cycle(spark, 300)
     before, after = (evasion.evasion_rates(evasion.paired_verdicts(rows, "prompt", n)) for n in (False, True))
     return evasion.compare(before, after)
 
 
+@query()
+def evasion_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compared(spark)
+
+
+@query()
+def evasion_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evasion.overall(_compared(spark))
+
+
 @query()
 def benign_fp_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(table(spark, sf_dir, "combined_dataset").where("label = 0 and text is not null").select("row_id", "text"))
@@ -150,7 +180,14 @@ def rate_limit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.log_rate_limit(_requests(spark, sf_dir), limit=3, window_ms=3_600_000)
 
 
-@query()
+@query("WITH RECURSIVE" + _R[4:] + """,
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, request_id) AS n FROM q),
+w AS (SELECT request_id, key, ms, n, true AS allowed, [ms] AS kept FROM o WHERE n = 1
+ UNION ALL SELECT o.request_id, o.key, o.ms, o.n, len(list_filter(w.kept, lambda x: x > o.ms - 3600000)) < 3,
+  CASE WHEN len(list_filter(w.kept, lambda x: x > o.ms - 3600000)) < 3 THEN list_append(list_filter(w.kept, lambda x: x > o.ms - 3600000), o.ms) ELSE w.kept END
+ FROM w JOIN o ON o.key = w.key AND o.n = w.n + 1)
+SELECT request_id, key, ms, allowed FROM w
+""")
 def rate_limit_accepting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.accepting_rate_limit(_requests(spark, sf_dir), limit=3, window_ms=3_600_000)
 
@@ -161,10 +198,18 @@ def concurrency_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.concurrency(open_, 10).select("request_id", "running")
 
 
-@query("SELECT event_type, CASE WHEN event_type = 'error' THEN 'ERROR' WHEN value > 100 THEN 'WARNING' ELSE 'INFO' END AS level, count(*) AS n FROM events GROUP BY 1, 2")
+_STATUS = "CASE WHEN event_type = 'error' THEN 503 WHEN value > 100 THEN 429 WHEN value > 60 THEN 404 ELSE 200 END"
+
+
+@query(f"SELECT event_type, CASE {_STATUS} WHEN 503 THEN 'ERROR' WHEN 200 THEN 'INFO' ELSE 'WARNING' END AS level, count(*) AS n FROM events GROUP BY 1, 2")
 def latency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    level = admission.log_level(F.when(F.col("event_type") == "error", 500).otherwise(200), F.col("value") * 10)
-    return table(spark, sf_dir, "events").groupBy("event_type", level.alias("level")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "events").groupBy("event_type", admission.log_level(F.expr(_STATUS)).alias("level")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT status, count(*) AS n FROM (SELECT {_STATUS} AS status FROM events WHERE event_type IN ('click', 'purchase', 'error')) GROUP BY 1")
+def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guarded = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase", "error"))
+    return guarded.groupBy(F.expr(_STATUS).alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1")

@@ -15,8 +15,8 @@ _S = f"WITH s AS (SELECT * REPLACE ({_UUID.format('id')} AS id) FROM sessions QU
 _PATCHED = "'1', '5', '9', 'd'"
 
 
-def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.clean_messages(table(spark, sf_dir, "classifications"))
+def _messages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return ops.clean_messages(table(spark, sf_dir, "classifications"), *columns)
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,18 +34,18 @@ SELECT t.*, r.rolling_block_rate, f.top_family FROM
  LEFT JOIN (SELECT session_id, attack_family AS top_family FROM (SELECT session_id, attack_family, count(*) AS n FROM m WHERE verdict = 'BLOCK' AND attack_family IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC, attack_family) = 1) f USING (session_id)
 """)
 def trend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.trend_summary(_messages(spark, sf_dir))
+    return ops.trend_summary(_messages(spark, sf_dir, "created_at", "verdict", "attack_family"))
 
 
 @query(_M + "SELECT id, session_id, epoch_us(created_at) AS created_at, verdict, round(avg(CASE WHEN verdict = 'BLOCK' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY created_at, id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 4) AS rolling_block_rate FROM m")
 def trend_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = ops.trend_points(_messages(spark, sf_dir).select("id", "session_id", "created_at", "verdict"))
+    points = ops.trend_points(_messages(spark, sf_dir, "created_at", "verdict").select("id", "session_id", "created_at", "verdict"))
     return _micros(points, "created_at")
 
 
 @query(_M + "SELECT session_id, attack_family, count(*) AS n FROM m WHERE verdict = 'BLOCK' AND attack_family IS NOT NULL GROUP BY 1, 2")
 def family_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.family_breakdown(_messages(spark, sf_dir))
+    return ops.family_breakdown(_messages(spark, sf_dir, "verdict", "attack_family"))
 
 
 @query(_S + "SELECT id, epoch_us(created_at) AS created_at, preview, last_verdict FROM s ORDER BY s.created_at DESC, id LIMIT 100")
@@ -59,7 +59,7 @@ UNION ALL SELECT session_id, epoch_us(min(created_at)), substr(arg_min(text, cre
 """)
 def session_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = _sessions(spark, sf_dir)
-    first = _messages(spark, sf_dir).where("text is not null").groupBy("session_id").agg(F.min("created_at").alias("created_at"), F.min_by("text", "created_at").alias("preview"))
+    first = _messages(spark, sf_dir, "created_at", "text").where("text is not null").groupBy("session_id").agg(F.min("created_at").alias("created_at"), F.min_by("text", "created_at").alias("preview"))
     incoming = first.select(F.col("session_id").alias("id"), "created_at", F.col("created_at").alias("updated_at"), "preview", F.lit(None).cast("string").alias("last_verdict"))
     return _micros(ops.upsert_absent(sessions, incoming).select("id", "created_at", "preview"), "created_at")
 
@@ -78,23 +78,23 @@ UNION ALL SELECT 'message', id FROM m WHERE session_id NOT IN (SELECT id FROM go
 """)
 def session_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = _sessions(spark, sf_dir)
-    kept, messages = ops.delete_cascade(sessions, _messages(spark, sf_dir), sessions.where("last_verdict is null").select("id"))
+    kept, messages = ops.delete_cascade(sessions, _messages(spark, sf_dir, "verdict"), sessions.where("last_verdict is null").select("id"))
     return kept.select(F.lit("session").alias("kind"), "id").unionByName(messages.select(F.lit("message").alias("kind"), "id"))
 
 
 @query(_M + "SELECT id, session_id, epoch_us(created_at) AS created_at, verdict FROM m WHERE text ILIKE '%the%guard%'")
 def history_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _micros(ops.search(_messages(spark, sf_dir), "the%guard").select("id", "session_id", "created_at", "verdict"), "created_at")
+    return _micros(ops.search(_messages(spark, sf_dir, "created_at", "verdict", "text"), "the%guard").select("id", "session_id", "created_at", "verdict"), "created_at")
 
 
 @query(_M + ", f AS (SELECT * FROM m WHERE text ILIKE '%rules%') SELECT id, epoch_us(created_at) AS created_at, (SELECT count(*) FROM f) AS total FROM f ORDER BY f.created_at DESC, id LIMIT 50 OFFSET 20")
 def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _micros(ops.page(_messages(spark, sf_dir), "rules", 50, 20).select("id", "created_at", "total"), "created_at")
+    return _micros(ops.page(_messages(spark, sf_dir, "created_at", "text"), "rules", 50, 20).select("id", "created_at", "total"), "created_at")
 
 
 @query(_M + "SELECT count(*) AS total, count_if(verdict = 'BLOCK') AS blocked, count_if(verdict = 'ALLOW') AS allowed, round(count_if(verdict = 'BLOCK') / count(*), 4) AS block_rate FROM m")
 def stats_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _messages(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.col("verdict") == "BLOCK").alias("blocked"), F.count_if(F.col("verdict") == "ALLOW").alias("allowed"))
+    c = _messages(spark, sf_dir, "verdict").agg(F.count("*").alias("total"), F.count_if(F.col("verdict") == "BLOCK").alias("blocked"), F.count_if(F.col("verdict") == "ALLOW").alias("allowed"))
     return c.withColumn("block_rate", F.when(F.col("total") > 0, F.round(F.col("blocked") / F.col("total"), 4)))
 
 
@@ -104,7 +104,7 @@ SELECT session_id, id, side, content FROM (
 WHERE content <> '' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC, side DESC) <= 10
 """)
 def history_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.recent_turns(_messages(spark, sf_dir)).select("session_id", "id", F.when(F.col("role") == "user", 0).otherwise(1).alias("side"), "content")
+    return ops.recent_turns(_messages(spark, sf_dir, "created_at", "text", "reply")).select("session_id", "id", F.when(F.col("role") == "user", 0).otherwise(1).alias("side"), "content")
 
 
 @query("""
@@ -124,7 +124,42 @@ def family_scores_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.col("ingested_at").isNotNull().alias("stored"), F.when(valid, F.try_element_at(whole, F.lit("instruction_override"))).alias("instruction_override"))
 
 
-@query()
+_NAMES = ", ".join(f"'{k}': '{v}'" for k, v in ops.FAMILY_NAMES.items())
+
+
+@query(_M + f"""
+, e AS (SELECT id, attack_family, confidence, CAST(CAST(family_scores AS JSON) AS MAP(VARCHAR, DOUBLE)) AS scores FROM m
+ WHERE verdict = 'BLOCK' AND attack_family IS NOT NULL AND confidence IS NOT NULL AND json_valid(family_scores) AND regexp_full_match(family_scores, '\\s*\\{{.*\\}}\\s*')),
+t AS (SELECT *, list_sort(list_transform(map_entries(scores), lambda x: {{'v': -x.value, 'k': x.key}}))[:3] AS top, MAP {{{_NAMES}}} AS names FROM e)
+SELECT id, 'Blocked as ' || coalesce(names[attack_family], attack_family) || ' with ' || CAST(CAST(round_even(confidence * 100, 0) AS INT) AS VARCHAR) || '% confidence. Top signals: '
+ || array_to_string(list_transform(top, lambda x: coalesce(names[x.k], x.k) || ' (' || CAST(CAST(round_even(-x.v * 100, 0) AS INT) AS VARCHAR) || '%)'), ', ') AS reply FROM t
+""")
 def block_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _messages(spark, sf_dir).where("verdict = 'BLOCK' and attack_family is not null and family_scores rlike '^\\\\s*\\\\{.*\\\\}\\\\s*$'")
-    return rows.select("id", ops.explanation(F.col("attack_family"), F.from_json("family_scores", "map<string,double>")).alias("reply"))
+    rows = _messages(spark, sf_dir, "verdict", "attack_family", "family_scores", "confidence").where("verdict = 'BLOCK' and attack_family is not null and confidence is not null and family_scores rlike '^\\\\s*\\\\{.*\\\\}\\\\s*$'")
+    return rows.select("id", ops.explanation(F.col("attack_family"), F.from_json("family_scores", "map<string,double>"), F.col("confidence")).alias("reply"))
+
+
+@query(_M + """
+SELECT reject_reason, count(*) AS n FROM (
+  SELECT CASE WHEN length(text) > 200 THEN 'query_too_long' WHEN h % 120 < 1 OR h % 120 > 100 THEN 'bad_limit' WHEN h % 7 - 1 < 0 THEN 'bad_offset' END AS reject_reason
+  FROM (SELECT text, length(coalesce(text, '')) + length(coalesce(reply, '')) AS h FROM m))
+WHERE reject_reason IS NOT NULL GROUP BY 1
+""")
+def search_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.length(F.coalesce("text", F.lit(""))) + F.length(F.coalesce("reply", F.lit("")))
+    asked = _messages(spark, sf_dir, "text", "reply").select(F.col("text").alias("q"), (h % 120).alias("limit"), (h % 7 - 1).alias("offset"))
+    judged = asked.select(schemas.search_reject_reason(F.col("q"), F.col("limit"), F.col("offset")).alias("reject_reason"))
+    return judged.where("reject_reason is not null").groupBy("reject_reason").agg(F.count("*").alias("n"))
+
+
+@query(_M + """
+, t AS (SELECT session_id, count(*) AS turns, count_if(content IS NULL) AS missing, count_if(length(content) < 1) AS short, count_if(length(content) > 10000) AS long FROM (SELECT session_id, text AS content FROM m UNION ALL SELECT session_id, reply FROM m) GROUP BY 1)
+SELECT session_id, CASE WHEN turns > 20 THEN 'too_many_turns' WHEN missing > 0 THEN 'missing' WHEN short > 0 THEN 'too_short' WHEN long > 0 THEN 'too_long' END AS reject_reason FROM t WHERE turns > 20 OR missing + short + long > 0
+""")
+def history_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions whose history would not be accepted. The most severe turn's reason counts, in the order of the bounds."""
+    both = _messages(spark, sf_dir, "text", "reply").select("session_id", F.explode(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("reply").alias("content")))).alias("t"))
+    reason = schemas.turn_reject_reason(F.col("t.role"), F.col("t.content"))
+    counted = both.groupBy("session_id").agg(F.count("*").alias("turns"), *[F.count_if(reason == r).alias(r) for r in ("missing", "too_short", "too_long")])
+    whole = F.when(F.col("turns") > schemas.TURNS_MOST, "too_many_turns").when(F.col("missing") > 0, "missing").when(F.col("too_short") > 0, "too_short").when(F.col("too_long") > 0, "too_long")
+    return counted.select("session_id", whole.alias("reject_reason")).where("reject_reason is not null")

@@ -37,11 +37,26 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the checkpoint folder, deleted when the driver ends."""
+    ensure_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone already; the folder is the cluster's to clear
+        pass
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df as a table written to the checkpoint folder: ends the lineage, and the plan's guesses of its size."""
     spark = df.sparkSession
-    ensure_checkpoints(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

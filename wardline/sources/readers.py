@@ -44,7 +44,18 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select(*columns) if columns else df
 
 
+def read_csv_where(spark: SparkSession, path: str, schema: str, condition: str) -> DataFrame:
+    """The rows of a CSV that meet a condition, which the scan checks as it parses."""
+    return read_csv(spark, path, schema, lenient=True).where(condition)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """name, sha256 of each file below path."""
+    """name, sha256 of each file below path, the name being what follows path, so that equal names in two folders differ."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    root = path.split("://")[-1].lstrip("/").rstrip("/") + "/"
+    return files.select(F.substring_index("path", root, -1).alias("name"), F.sha2("content", 256).alias("sha256"))

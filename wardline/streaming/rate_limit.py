@@ -34,7 +34,7 @@ def limited(requests: DataFrame, limit: int = LIMIT, window_ms: int = WINDOW_MS,
             if out[-1]:
                 kept.append(int(ms))
         state.update((kept,))
-        state.setTimeoutTimestamp(max([*kept, 0]) + window_ms + max(0, state.getCurrentWatermarkMs()) + 1)
+        state.setTimeoutTimestamp(max(max([*kept, 0]) + window_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"request_id": rows["request_id"], "key": key[0], "allowed": out})
 
     keyed = requests.withWatermark("ts", lateness).groupBy("key")
