@@ -491,6 +491,12 @@ def test_caps(spark, monkeypatch, rank_rows):
     assert got == want
 
 
+def test_scores_come_out_as_given(spark):
+    rows = [(1, 1, float("inf")), (2, 1, float("-inf")), (3, 1, None), (4, 1, 2.0), (5, 1, float("nan"))]
+    out = {r["row_id"]: (str(r["score"]), r["keep"]) for r in capping.cap_contributors(spark.createDataFrame(rows, "row_id long, t long, q double"), "t", "q", max_rows=2).collect()}
+    assert out == {1: ("inf", True), 2: ("-inf", False), 3: ("None", False), 4: ("2.0", True), 5: ("nan", False)}
+
+
 def test_cap_by_share_and_of_nothing(spark):
     df = spark.range(1000).selectExpr("id AS row_id", "if(id < 900, 1, id) AS t", "id / 7.0D AS q")
     kept = capping.cap_contributors(df, "t", "q", max_share=0.1).where("keep")

@@ -34,6 +34,7 @@ def _place(rows: DataFrame, span: DataFrame, total: int) -> tuple[DataFrame, Dat
     step = F.greatest(F.ceil((F.col("i_hi") - F.col("i_lo") + 1) / BINS), F.lit(1))
     id_bin = F.when(F.col("score").isNull() & F.col("s_hi").isNotNull(), -BINS - 2).otherwise(-F.floor((F.col("row_id") - F.col("i_lo")) / step))
     placed = keyed_join(rows, span, ["key"], "size", total).withColumn("bin", F.when(by_score, score_bin).otherwise(id_bin).cast("bigint"))
+    placed = cut(placed.select(*rows.columns, "need", "size", "bin"), "p7-placed")
     return placed, placed.groupBy("key", "need", "bin").agg(F.count("*").alias("n"))
 
 
@@ -53,16 +54,18 @@ def cap_contributors(rows: DataFrame, key_col: str, score_col: str, id_col: str
 
     The cap is max_rows, or max_share of all rows that have a contributor, or the smaller of both. Rows rank by score
     from high to low, null and NaN last, ties by smaller id. Rows without contributor are not capped and do not come
-    out here. Infinite scores rank as such and come out as the largest that are placed, FAR. Ids are integers; with repeated ids the order among them is arbitrary.
+    out here. Scores come out as given; infinite ones rank as such. Ids are integers; with repeated ids the order among them is arbitrary.
     """
-    own = rows.where(F.col(f"`{key_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("bigint").alias("row_id"), F.col(f"`{key_col}`").alias("key"), _finite(F.col(f"`{score_col}`").cast("double")).alias("score"))
+    own = rows.where(F.col(f"`{key_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("bigint").alias("row_id"), F.col(f"`{key_col}`").alias("key"), F.col(f"`{score_col}`").cast("double").alias("as_given"))
+    own = own.withColumn("score", _finite(F.col("as_given")))
+    shown = ["row_id", "key", F.col("as_given").alias("score"), "keep"]
     total = own.count()
     caps = [int(c) for c in (max_rows, None if max_share is None else int(max_share * total)) if c is not None]
     if not caps:
         raise ValueError("give max_rows or max_share")
     cap = max(0, min(caps))
     if cap == 0:
-        return own.withColumn("keep", F.lit(False))
+        return own.withColumn("keep", F.lit(False)).select(*shown)
     best = [F.desc_nulls_last("score"), F.asc_nulls_last("row_id")]
     todo, done = own.withColumn("need", F.lit(cap).cast("bigint")), []
     for _ in range(LEVELS):
@@ -71,16 +74,16 @@ def cap_contributors(rows: DataFrame, key_col: str, score_col: str, id_col: str
         cuts = cut(span.select("key", "need", "size").join(_cutoffs(histogram), "key", "left"), "p7-cuts")
         judged = keyed_join(placed.drop("need", "size"), cuts, ["key"], "size", total)
         verdict = F.when(F.col("cut_bin").isNull() | (F.col("bin") > F.col("cut_bin")), True).when(F.col("bin") < F.col("cut_bin"), False).when(F.col("left") == F.col("at_cut"), True)
-        judged = judged.withColumn("keep", verdict)
-        done.append(judged.where("keep is not null").select("row_id", "key", "score", "keep"))
-        border = judged.where("keep is null").select("row_id", "key", "score", F.col("left").alias("need"), "at_cut")
+        judged = cut(judged.withColumn("keep", verdict), "p7-judged")
+        done.append(judged.where("keep is not null").select(*shown))
+        border = judged.where("keep is null").select("row_id", "key", "as_given", "score", F.col("left").alias("need"), "at_cut")
         rank = F.row_number().over(Window.partitionBy("key").orderBy(*best))
-        done.append(border.where(F.col("at_cut") <= RANK_ROWS).withColumn("keep", rank <= F.col("need")).select("row_id", "key", "score", "keep"))
+        done.append(border.where(F.col("at_cut") <= RANK_ROWS).withColumn("keep", rank <= F.col("need")).select(*shown))
         if not cuts.where((F.col("at_cut") > RANK_ROWS) & (F.col("left") < F.col("at_cut"))).limit(1).count():
             break
         todo = cut(border.where(F.col("at_cut") > RANK_ROWS).drop("at_cut"), "p7-border")
     else:
-        done.append(todo.withColumn("keep", F.row_number().over(Window.partitionBy("key").orderBy(*best)) <= F.col("need")).select("row_id", "key", "score", "keep"))
+        done.append(todo.withColumn("keep", F.row_number().over(Window.partitionBy("key").orderBy(*best)) <= F.col("need")).select(*shown))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
