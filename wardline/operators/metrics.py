@@ -12,11 +12,13 @@ def by_value(rows: DataFrame, score: str, label: str) -> DataFrame:
     return rows.where(s.isNotNull() & ~F.isnan(s) & F.col(label).isin(0, 1)).groupBy(s.alias("score")).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum((1 - F.col(label)).cast("bigint")).alias("neg"))
 
 
-def running(values: DataFrame, order: str, sums: list[str], pieces: int = 64) -> DataFrame:
+def running(values: DataFrame, order: str, sums: list[str], pieces: int | None = None) -> DataFrame:
     """values with cum_x for each x of sums: the sum over all rows of smaller `order`, its own left out.
 
-    Rows are cut into pieces at quantiles; each piece is summed on its own and adds the totals of those before it.
+    Rows are cut into pieces at quantiles, four for each core but 64 at least; each piece is summed on its own and adds
+    the totals of those before it.
     """
+    pieces = pieces or max(64, 4 * values.sparkSession.sparkContext.defaultParallelism)
     edges = sorted(set(values.approxQuantile(order, [k / pieces for k in range(1, pieces)], 0.01)))
     piece = F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e < F.col(order))) if edges else F.lit(0)
     cut = values.withColumn("_piece", piece)
