@@ -149,7 +149,7 @@ def with_features(rows: DataFrame, text_col: str = "text", normalise: bool = Tru
 
 def vector_columns() -> list[str]:
     """f01 to f21, in the order of the vector."""
-    return [name[:3] for name in lx.FEATURES]
+    return [f"f{i:02d}" for i in range(1, 22)]
 
 
 def total(columns: list[Column]) -> Column:

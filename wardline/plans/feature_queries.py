@@ -110,6 +110,22 @@ def feat_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row_id", *[v.alias(k) for k, v in fx.keyword_features(F.col("text"), F.col("low")).items()])
 
 
+_FOLDED = f"(SELECT row_id, translate(translate({_LOOK}, {_lit(lx.INVISIBLE)}, ''), {_lit(lx.LEET[0])}, {_lit(lx.LEET[1])}) AS text FROM combined_dataset WHERE text IS NOT NULL)"
+
+
+@query(f"""
+SELECT row_id, CAST({_matches('override')} AS DOUBLE) AS f01, CAST({_matches('role_swap')} + {_matches('act_as')} + {_matches('harmful_role')} AS DOUBLE) AS f02, CAST({_matches('exfil')} AS DOUBLE) AS f03,
+ CAST({_matches('filter_bypass')} AS DOUBLE) AS f04, CAST({_matches('narrative')} AS DOUBLE) AS f21, CAST(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS DOUBLE) AS f20
+FROM {_FOLDED}
+""")
+def feat_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase and word counts of the text as the steps that SQL knows leave it: look-alikes, invisible signs and leet folded."""
+    folded = nz.fold_leet(nz.strip_invisible(nz.fold_lookalikes(F.col("text"))))
+    rows = _corpus(spark, sf_dir).where("text is not null").select("row_id", folded.alias("text")).withColumn("low", fx.lowered(F.col("text")))
+    named = fx.keyword_features(F.col("text"), F.col("low")) | {"f20": fx.structure_features(F.col("text"), F.col("text"))["f20"]}
+    return rows.select("row_id", *[named[k].alias(k) for k in ("f01", "f02", "f03", "f04", "f21", "f20")])
+
+
 @query()
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _corpus(spark, sf_dir).where("text is not null").select("row_id", nz.normalized(F.col("text")).alias("decoded_text"))
