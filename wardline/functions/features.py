@@ -6,10 +6,14 @@ decoded text once, behind the Arrow step, so that the many uses of it don't repe
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
+from math import log
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from wardline.functions import lexicon as lx
 from wardline.functions.normalize import normalized
@@ -25,12 +29,19 @@ LITERALS = {
     "filter_bypass": "bypass jailbreak restrict limit mode dan safety filter guardrail rule",
     "narrative": "game hypothetically scenario story roleplay world universe rule conversation everything",
 }
+#: The letters that a group's matches begin with: a place with another one is passed over without a try of every phrase.
+FIRST = {"override": "bdfiopsy", "role_swap": "fipsy", "act_as": "abdhwy", "harmful_role": "abhiprs", "exfil": "acdegloprstu", "filter_bypass": "bdfijnrstu", "narrative": "fhilnrtwy"}
 
 
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
+def _held(text: Column, pattern: str) -> Column:
+    """How many of the text's characters are in matches of the pattern."""
+    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("double")
+
+
 def lowered(text: Column) -> Column:
     """The text as may_match looks at it. A column of its own, so that it is made once for all literals."""
     return F.translate(F.lower(text), "ſ", "s")
@@ -42,7 +53,7 @@ def may_match(low: Column, group: str) -> Column:
 
 
 def phrase_count(text: Column, group: str, low: Column | None = None) -> Column:
-    return F.when(may_match(lowered(text) if low is None else low, group), _count(text, f"(?iU){lx.alternation(group)}")).otherwise(0.0)
+    return F.when(may_match(lowered(text) if low is None else low, group), _count(text, f"(?iU)(?=[{FIRST[group]}])(?:{lx.alternation(group)})")).otherwise(0.0)
 
 
 def char_count(text: Column, chars: str) -> Column:
@@ -54,11 +65,18 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
-def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits; 0 for an empty text."""
-    n = F.length(text).cast("double")
-    each = F.transform(F.array_distinct(F.split(text, "")), lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / n)
-    return F.when(n > 0, F.aggregate(F.filter(each, lambda p: p > 0), F.lit(0.0), lambda acc, p: acc - p * F.log2(p))).otherwise(0.0)
+def _entropy(text: str | None) -> float:
+    n, bits = len(text or ""), 0.0
+    for c in Counter(text or "").values():
+        bits -= c / n * (log(c / n) / log(2))
+    return bits
+
+
+@F.pandas_udf(DoubleType())
+def entropy(texts: pd.Series) -> pd.Series:
+    """Shannon entropy of the characters in bits; 0 for an empty text. In an Arrow batch, as expressions would read the text
+    once per distinct character."""
+    return texts.map(_entropy).astype("float64")
 
 
 def sentence_count(text: Column) -> Column:
@@ -68,24 +86,35 @@ def sentence_count(text: Column) -> Column:
 
 def encoding_features(text: Column) -> dict[str, Column]:
     n = F.length(text)
-    f05 = F.when(text.rlike(lx.BASE64_BLOB), 1.0).otherwise(0.0)
+    signs = F.contains(text, F.lit("=")) | F.contains(text, F.lit("+")) | F.contains(text, F.lit("/"))  # every match holds one
+    f05 = F.when(signs & text.rlike(lx.BASE64_BLOB), 1.0).otherwise(0.0)
     f06, f07 = char_count(text, lx.LOOKALIKES[0]), char_count(text, lx.INVISIBLE)
     f08 = _share(char_count(text, lx.LEET[0]), n)
-    f09 = _share((n - F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))).cast("double"), n)
-    f10 = F.least(f05 * 0.30 + F.least(f06 / 10.0, F.lit(1.0)) * 0.25 + F.least(f07 / 5.0, F.lit(1.0)) * 0.20 + f08 * 0.15 + f09 * 0.10, F.lit(1.0))
-    return {"f05": f05, "f06": f06, "f07": f07, "f08": f08, "f09": f09, "f10": f10}
+    f09 = _share((n - F.length(F.regexp_replace(text, r"[^\x00-\x7F]+", ""))).cast("double"), n)
+    return {"f05": f05, "f06": f06, "f07": f07, "f08": f08, "f09": f09, "f10": encoding_score(f05, f06, f07, f08, f09)}
+
+
+def encoding_score(f05: Column, f06: Column, f07: Column, f08: Column, f09: Column) -> Column:
+    return F.least(f05 * 0.30 + F.least(f06 / 10.0, F.lit(1.0)) * 0.25 + F.least(f07 / 5.0, F.lit(1.0)) * 0.20 + f08 * 0.15 + f09 * 0.10, F.lit(1.0))
 
 
-def structure_features(text: Column, decoded: Column) -> dict[str, Column]:
-    letters, upper = _count(decoded, r"\p{L}"), _count(decoded, r"\p{Lu}")
-    words = _count(decoded, WORD)
-    word_chars = (F.length(decoded) - F.length(F.regexp_replace(decoded, r"[\p{L}\p{N}_]", ""))).cast("double")
-    special = F.length(F.regexp_replace(decoded, r"(?U)[\p{L}\p{N}\s]", "")).cast("double")
+def structure_parts(decoded: Column) -> dict[str, Column]:
+    """The counts that the features of structure share."""
+    return {
+        "_letters": _held(decoded, r"\p{L}+"),
+        "_words": _count(decoded, WORD),
+    }
+
+
+def structure_features(text: Column, decoded: Column, parts: dict[str, Column] | None = None) -> dict[str, Column]:
+    """parts: structure_parts, where they are columns already."""
+    letters, words = (parts or structure_parts(decoded)).values()
+    special = F.length(F.regexp_replace(decoded, r"(?U)[\p{L}\p{N}\s]+", "")).cast("double")
     pieces = F.size(F.filter(F.split(decoded, "[.!?]+"), lambda s: s.rlike(r"(?U)\S")))
     opener = F.lower(F.regexp_extract(decoded, WORD, 0)).isin(lx.IMPERATIVES)
     return {
-        "f12": _share(upper, letters),
-        "f13": _share(word_chars, words),
+        "f12": _share(_held(decoded, r"\p{Lu}+"), letters),
+        "f13": _share(_held(decoded, WORD), words),
         "f14": sentence_count(decoded),
         "f15": _share(words, pieces),
         "f16": _share(special, F.length(decoded)),
@@ -98,7 +127,10 @@ def structure_features(text: Column, decoded: Column) -> dict[str, Column]:
 
 def keyword_features(decoded: Column, low: Column | None = None) -> dict[str, Column]:
     """The phrase counts; low is the lowered text, where that is a column already."""
-    c = {g: phrase_count(decoded, g, low) for g in lx.PHRASES}
+    return keyword_sums({g: phrase_count(decoded, g, low) for g in lx.PHRASES})
+
+
+def keyword_sums(c: dict[str, Column]) -> dict[str, Column]:
     return {"f01": c["override"], "f02": c["role_swap"] + c["act_as"] + c["harmful_role"], "f03": c["exfil"], "f04": c["filter_bypass"], "f21": c["narrative"], "hard_hits": c["override"] + c["act_as"] + c["harmful_role"] + c["filter_bypass"]}
 
 
@@ -142,9 +174,15 @@ def with_features(rows: DataFrame, text_col: str = "text", normalise: bool = Tru
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     out = rows.withColumn("decoded_text", normalized(text) if normalise else text)
     decoded = F.col("decoded_text")
-    out = out.withColumn("_low", lowered(decoded))
-    named = keyword_features(decoded, F.col("_low")) | encoding_features(text) | {"f11": entropy(decoded)} | structure_features(text, decoded)
-    return out.withColumns({k: named[k] for k in sorted(named)}).drop("_low")
+    # What several features use is a column of its own first, so that it is made once.
+    out = out.withColumns({"_low": lowered(decoded), "f11": entropy(decoded)})
+    first = {f"_{g}": phrase_count(decoded, g, F.col("_low")) for g in lx.PHRASES} | structure_parts(decoded)
+    codes = encoding_features(text)
+    out = out.withColumns(first | {k: codes[k] for k in ("f05", "f06", "f07", "f08", "f09")})
+    named = keyword_sums({g: F.col(f"_{g}") for g in lx.PHRASES}) | {k: F.col(k) for k in ("f05", "f06", "f07", "f08", "f09", "f11")}
+    named |= {"f10": encoding_score(*[F.col(f"f{i:02d}") for i in range(5, 10)])} | structure_features(text, decoded, {k: F.col(k) for k in structure_parts(decoded)})
+    kept = [c for c in rows.columns if c not in named and c != "decoded_text"]
+    return out.select(*[F.col(f"`{c}`") for c in kept], "decoded_text", *[named[k].alias(k) for k in sorted(named)])
 
 
 def vector_columns() -> list[str]:

@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.features import vector_columns, with_features
+from wardline.operators import forest as forests
 from wardline.operators import metrics
 from wardline.operators.boosting import BoostedModel, boosted
+from wardline.operators.forest import Forest
 from wardline.session import materialised, spread
 
 # The families that clusters are named by, in order, with the feature that speaks for each, and the score of
@@ -51,7 +53,10 @@ def logistic(data: DataFrame, label: str = "label", iterations: int = 1000) -> P
     return Pipeline(stages=[scaler, fit]).fit(data)
 
 
-def forest(data: DataFrame, label: str = "label", trees: int = 300, depth: int = 20, seed: int = 42) -> PipelineModel:
+def forest(data: DataFrame, label: str = "label", trees: int = 300, depth: int = 20, seed: int = 42) -> Forest | PipelineModel:
+    """A forest of our own, whose trees are tasks; MLlib's, which moves its histograms, where vectors are too many for that."""
+    if own := forests.fit(data, label, trees, depth, 2, seed):
+        return own
     return Pipeline(stages=[RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, maxBins=64, seed=seed)]).fit(data)
 
 
@@ -112,7 +117,7 @@ def kernel_svm(data: DataFrame, label: str = "label", size: int = 256, seed: int
     return kernel_machine(data, label, size, seed).probabilities(data)
 
 
-def probabilities(model: PipelineModel | BoostedModel | KernelSvm, data: DataFrame) -> DataFrame:
+def probabilities(model: PipelineModel | Forest | BoostedModel | KernelSvm, data: DataFrame) -> DataFrame:
     """data with p, the probability of label 1."""
     if not isinstance(model, PipelineModel):
         return model.probabilities(data)
@@ -124,9 +129,9 @@ def select_best(aucs: dict[str, float]) -> str:
     return max(aucs, key=lambda k: aucs[k])
 
 
-def importances(model: PipelineModel, top: int = 10) -> list[tuple[str, float, bool]]:
+def importances(model: Forest | PipelineModel, top: int = 10) -> list[tuple[str, float, bool]]:
     """(feature, importance, whether in the top quartile) of a forest, highest first."""
-    values = model.stages[-1].featureImportances.toArray()
+    values = model.importances if isinstance(model, Forest) else model.stages[-1].featureImportances.toArray()
     edge = float(np.quantile(values, 0.75))
     order = sorted(range(len(values)), key=lambda i: (-values[i], i))[:top]
     names = vector_columns()
