@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.session import scratch_path
+from wardline.session import file_system, scratch_path
 
 #: Bins per feature, a power of two of at most 256, and rows that a task scores at a time.
 BINS, BLOCK_ROWS = 64, 200_000
@@ -134,12 +134,6 @@ def grow(x: np.ndarray, y: np.ndarray, drawn: np.ndarray, weights: tuple[float,
     return Tree(*[np.concatenate(parts[n]) for n in ("feature", "edge", "left", "value")], gains / max(gains.sum(), 1e-300))
 
 
-def _file_system(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
-
-
 _held: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
@@ -150,7 +144,7 @@ def _vectors(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         from pyarrow import fs
 
         _held.clear()
-        system, root = _file_system(path)
+        system, root = file_system(path)
         names = sorted(f.path for f in system.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
         x, y, n = [], [], []
         for batch in ds.dataset(names, filesystem=system, format="parquet").to_batches(columns=["x", "y", "n"]):
@@ -169,7 +163,7 @@ def _grown(path: str, weights: tuple[float, float], depth: int, least: int, subs
                 x, y, n = _vectors(path)
                 rng = np.random.default_rng([seed, t])
                 tree = grow(x, y, rng.poisson(n), weights, depth, least, subset, rng)
-                system, root = _file_system(path)
+                system, root = file_system(path)
                 name = f"{root}/_tree-{t}-{uuid.uuid4().hex}"  # a repeated task writes a file of its own
                 with system.open_output_stream(name) as f:
                     out = io.BytesIO()
@@ -196,7 +190,7 @@ class Forest:
         def scored(blocks: list[np.ndarray]) -> Iterator[pd.Series]:
             x = np.concatenate(blocks)
             out = np.zeros(len(x))
-            system, _ = _file_system(path)
+            system, _ = file_system(path)
             for name in files if len(x) else []:
                 with system.open_input_stream(name) as f, np.load(io.BytesIO(f.read())) as z:
                     out += Tree(z["feature"], z["edge"], z["left"], z["value"], np.zeros(0)).scores(x)
