@@ -98,3 +98,14 @@ def test_phrases_begin_with_the_listed_letters():
         return out, True
 
     assert {g: "".join(sorted(first(_parser.parse(lx.alternation(g)))[0])) for g in lx.PHRASES} == FIRST
+
+
+def test_scores_are_of_own_trees(spark, small, monkeypatch):
+    from functools import partial
+
+    from wardline.plans import catalogue
+
+    made, fit = [], ml.forest
+    monkeypatch.setattr(ml, "forest", lambda data: made.append(partial(fit, trees=3)(data)) or made[-1])
+    rows = catalogue.queries()["rf_scores"](spark, small).collect()
+    assert isinstance(made[0], forest.Forest) and rows and all(0 <= r["p"] <= 1 for r in rows)
