@@ -1,7 +1,7 @@
 """The 21 features of a text and the labelled spans of its phrase matches.
 
-Every feature is a Column over two texts: `text` as it came and `decoded` as normalised. with_features materialises the
-decoded text once, behind the Arrow step, so that the many uses of it don't repeat the chain.
+Every feature is a Column over two texts: `text` as it came and `decoded` as normalised. with_features gives the same values
+for all of them at once, from an Arrow step (batch) that reads a text a few times in all.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from functools import reduce
 from math import log
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from wardline.functions import batch
 from wardline.functions import lexicon as lx
-from wardline.functions.normalize import normalized
 
 WORD = r"[\p{L}\p{N}_]+"
 #: Of each phrase group, literals of which every match holds at least one: a text without any is not searched further.
@@ -169,20 +170,25 @@ def spans(decoded: Column, counted: bool = False) -> Column:
     return F.transform(listed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")))
 
 
+@F.arrow_udf(batch.SCHEMA)
+def _measured(texts: pa.Array) -> pa.Array:
+    return batch.measured(texts, True)
+
+
+@F.arrow_udf(batch.SCHEMA)
+def _measured_as_is(texts: pa.Array) -> pa.Array:
+    return batch.measured(texts, False)
+
+
 def with_features(rows: DataFrame, text_col: str = "text", normalise: bool = True) -> DataFrame:
     """rows with decoded_text, f01 to f21 and hard_hits. Null texts count as empty."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    out = rows.withColumn("decoded_text", normalized(text) if normalise else text)
-    decoded = F.col("decoded_text")
-    # What several features use is a column of its own first, so that it is made once.
-    out = out.withColumns({"_low": lowered(decoded), "f11": entropy(decoded)})
-    first = {f"_{g}": phrase_count(decoded, g, F.col("_low")) for g in lx.PHRASES} | structure_parts(decoded)
-    codes = encoding_features(text)
-    out = out.withColumns(first | {k: codes[k] for k in ("f05", "f06", "f07", "f08", "f09")})
-    named = keyword_sums({g: F.col(f"_{g}") for g in lx.PHRASES}) | {k: F.col(k) for k in ("f05", "f06", "f07", "f08", "f09", "f11")}
-    named |= {"f10": encoding_score(*[F.col(f"f{i:02d}") for i in range(5, 10)])} | structure_features(text, decoded, {k: F.col(k) for k in structure_parts(decoded)})
+    out = rows.withColumn("_all", (_measured if normalise else _measured_as_is)(text))
+    at = F.col("_all")
+    named = keyword_sums({g: at[g] for g in lx.PHRASES}) | {k: at[k] for k in batch.FIELDS if k.startswith("f") and k[1:].isdigit()}
+    named["f10"] = encoding_score(*[at[f"f{i:02d}"] for i in range(5, 10)])
     kept = [c for c in rows.columns if c not in named and c != "decoded_text"]
-    return out.select(*[F.col(f"`{c}`") for c in kept], "decoded_text", *[named[k].alias(k) for k in sorted(named)])
+    return out.select(*[F.col(f"`{c}`") for c in kept], at["decoded_text"].alias("decoded_text"), *[named[k].alias(k) for k in sorted(named)])
 
 
 def vector_columns() -> list[str]:

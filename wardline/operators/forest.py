@@ -27,6 +27,9 @@ BINS, BLOCK_ROWS = 64, 200_000
 #: Distinct binned vectors that a worker may hold; fits on more are left to MLlib.
 HELD_ROWS = 4_000_000
 SHIFT, LOW = BINS.bit_length() - 1, (1 << 32) - 1
+#: Draws that are summed in doubles at most, two counts of as many bits each.
+HALF_BITS = 26
+HALF = (1 << HALF_BITS) - 1
 
 
 @dataclass
@@ -70,6 +73,7 @@ def grow(x: np.ndarray, y: np.ndarray, drawn: np.ndarray, weights: tuple[float,
     width = x.shape[1]
     flat, times = x[rows].ravel(), drawn[rows].astype(np.int64)
     packed = times | ((times * y[rows]) << 32)  # draws and those of label 1 in one number, so that one sum has both
+    halves = (times | ((times * y[rows]) << HALF_BITS)).astype(float)  # as packed, for sums of up to HALF draws in doubles
     every, ones = int(times.sum()), int((times * y[rows]).sum())
     at, node = np.arange(len(rows)), np.zeros(len(rows), dtype=np.int64)
     total = np.array([every | (ones << 32)])
@@ -84,8 +88,23 @@ def grow(x: np.ndarray, y: np.ndarray, drawn: np.ndarray, weights: tuple[float,
         before = np.concatenate(([0], np.cumsum(total)[:-1]))
         all_, one = total & LOW, total >> 32
         best, feature, edge, taken = np.full(k, -np.inf), np.zeros(k, np.int8), np.zeros(k, np.uint8), np.zeros(k, np.int64)
+        tabled = every <= HALF and k << SHIFT <= len(at)  # few nodes for their rows: sums by cell, no sorting
+        slot, base, drawn_at = node << SHIFT, at * width, halves[at] if tabled else None
         for f in chosen.T:
-            key = (((node << SHIFT) + flat[at * width + f[node]]) << 32) | at
+            cells = slot + flat[base + f[node]]
+            if tabled:
+                sums = np.bincount(cells, weights=drawn_at, minlength=k << SHIFT).astype(np.int64).reshape(k, -1).cumsum(1)
+                n, p = sums & HALF, sums >> HALF_BITS
+                fine = (n >= least) & (all_[:, None] - n >= least)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    gain = np.where(fine, _purity(p, n, weights) + _purity(one[:, None] - p, all_[:, None] - n, weights), -np.inf)
+                top = gain.argmax(1)
+                most = gain[np.arange(k), top]
+                which = np.flatnonzero(most > best)
+                top = top[which]
+                best[which], feature[which], edge[which], taken[which] = most[which], f[which], top, n[which, top] | (p[which, top] << 32)
+                continue
+            key = (cells << 32) | at
             key.sort()
             cell = key >> 32
             sums = np.cumsum(packed[key & LOW])
