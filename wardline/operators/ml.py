@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from math import pi, sqrt
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -18,9 +15,10 @@ from pyspark.sql import functions as F
 
 from wardline.functions.features import vector_columns, with_features
 from wardline.operators import forest as forests
-from wardline.operators import metrics
+from wardline.operators import kmeans, metrics
 from wardline.operators.boosting import BoostedModel, boosted
 from wardline.operators.forest import Forest
+from wardline.operators.kmeans import Blocks, KMeansRun
 from wardline.session import materialised, spread
 
 # The families that clusters are named by, in order, with the feature that speaks for each, and the score of
@@ -34,8 +32,6 @@ FAMILY_FEATURE = {
     "indirect_injection": None,
 }
 NO_FEATURE_SCORE = 0.001
-#: Clusterings that run at the same time.
-RUNS_AT_ONCE = 8
 
 
 def labelled_vectors(rows: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
@@ -138,15 +134,9 @@ def importances(model: Forest | PipelineModel, top: int = 10) -> list[tuple[str,
     return [(names[i], float(values[i]), bool(values[i] >= edge)) for i in order]
 
 
-def best_kmeans(data: DataFrame, k: int = 6, restarts: int = 20, column: str = "scaled") -> KMeansModel:
-    """Of several runs from different seeds the one with the lowest cost; of equal ones the first. The runs share the cluster."""
-    held = data.select(column).persist()
-    try:
-        with ThreadPoolExecutor(RUNS_AT_ONCE) as pool:
-            models = list(pool.map(lambda s: KMeans(k=k, seed=s, featuresCol=column, predictionCol="cluster_id").fit(held), range(restarts)))
-        return min(models, key=lambda m: m.summary.trainingCost)
-    finally:
-        held.unpersist()
+def best_kmeans(data: DataFrame | Blocks, k: int = 6, restarts: int = 20, column: str = "scaled") -> KMeansRun:
+    """Of several runs from different seeds the one with the lowest cost; of equal ones the first. The runs share each pass."""
+    return kmeans.best_of(data if isinstance(data, Blocks) else Blocks.of(data, column), k, restarts)
 
 
 @dataclass
@@ -203,8 +193,8 @@ def scaled(data: DataFrame) -> DataFrame:
 
 def silhouettes(data: DataFrame, ks: range = range(2, 10), restarts: int = 10) -> list[tuple[int, float]]:
     """(k, silhouette) of the best of several K-Means runs each."""
-    score = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster_id")
-    return [(k, score.evaluate(best_kmeans(data, k, restarts).transform(data))) for k in ks]
+    blocks = Blocks.of(data, "scaled")
+    return [(k, kmeans.silhouette(blocks, best_kmeans(blocks, k, restarts))) for k in ks]
 
 
 def name_clusters(centres: list[list[float]]) -> dict[int, str]:
