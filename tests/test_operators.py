@@ -7,6 +7,7 @@ from functools import partial
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from wardline import schemas
@@ -191,6 +192,21 @@ def test_clusters_on_block_only(spark):
     assert [len(t[3]) for t in clusters.top_features()] == [5] * 4
 
 
+def test_fourier_features_are_made_in_batches_and_not_written(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 21))
+    rows = [(Vectors.dense(r), int(r[0] > 0), 1.0) for r in x]
+    data = spark.createDataFrame(rows, ["features", "label", "weight"])
+    monkeypatch.setattr(ml, "materialised", lambda df: pytest.fail("Fourier features are written"))
+    mapped = ml.fourier_features(data, 8, seed=5)
+    assert "lambda" not in mapped._jdf.queryExecution().toString()
+    draw = np.random.default_rng(5)
+    w, b = draw.normal(scale=(2 / 21) ** 0.5, size=(8, 21)), draw.uniform(0, 2 * np.pi, 8)
+    want = np.cos((x - x.mean(0)) / x.std(0, ddof=1) @ w.T + b) * 0.5
+    assert np.allclose([r["fourier"].toArray() for r in mapped.collect()], want)
+    assert ml.kernel_machine(data, size=8).probabilities(data).count() == 60
+
+
 def test_boosting_learns_what_trees_can():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(4000, 5))

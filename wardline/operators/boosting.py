@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.session import file_system, scratch_path
+
 #: Rows that a fit uses at most; of more rows those with the smallest hash of their key.
 SAMPLE_ROWS = 200_000
 #: Thresholds per feature, the penalty on leaf values, and the least sum of second derivatives in a leaf.
@@ -46,23 +48,24 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int, depth: int, rate: float, posi
     """Trees for labels of 0 and 1 under the logistic loss, positives weighted. A node that gains nothing sends all left."""
     n, width = x.shape
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for f in range(width)]
-    binned = np.stack([np.searchsorted(cuts[f], x[:, f], "left") for f in range(width)], axis=1)
-    cell = binned + np.arange(width) * BINS
+    binned = np.stack([np.searchsorted(cuts[f], x[:, f], "left").astype(np.uint8) for f in range(width)])  # [feature, row]
     weight = np.where(y > 0, positive_weight, 1.0)
     inner, leaves = 2**depth - 1, 2**depth
     features, thresholds = np.zeros((rounds, inner), dtype=np.int64), np.full((rounds, inner), np.inf)
     values, gains = np.zeros((rounds, leaves)), np.zeros(width)
-    margin = np.zeros(n)
+    margin, rows = np.zeros(n), np.arange(n)
     score = lambda g, h: g * g / (h + L2)
     for t in range(rounds):
         p = 1 / (1 + np.exp(-margin))
         g, h = weight * (p - y), weight * p * (1 - p)
-        gs, hs = np.repeat(g, width), np.repeat(h, width)
         node = np.zeros(n, dtype=np.int64)
         for level in range(depth):
             k = 2**level
-            at = (node[:, None] * (width * BINS) + cell).ravel()
-            sums = [np.bincount(at, weights=v, minlength=k * width * BINS).reshape(k, width, BINS) for v in (gs, hs)]
+            sums = np.empty((2, k, width, BINS))
+            for f in range(width):  # a feature at a time, so that what is summed up stays in the cache
+                at = node * BINS + binned[f]
+                for s, v in zip(sums, (g, h)):
+                    s[:, f] = np.bincount(at, weights=v, minlength=k * BINS).reshape(k, BINS)
             left_g, left_h = sums[0].cumsum(2), sums[1].cumsum(2)
             all_g, all_h = left_g[:, :1, -1:], left_h[:, :1, -1:]
             right_g, right_h = all_g - left_g, all_h - left_h
@@ -77,7 +80,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int, depth: int, rate: float, posi
             features[t, first : first + k] = np.where(real, feature, 0)
             thresholds[t, first : first + k] = [cuts[f][e] if r and e < len(cuts[f]) else np.inf for f, e, r in zip(feature, edge, real)]
             np.add.at(gains, feature[real], most[real])
-            node = 2 * node + (binned[np.arange(n), feature[node]] > edge[node])
+            node = 2 * node + (binned[feature[node], rows] > edge[node])
         sum_g, sum_h = (np.bincount(node, weights=v, minlength=leaves) for v in (g, h))
         values[t] = -rate * sum_g / (sum_h + L2)
         margin += values[t][node]
@@ -100,13 +103,29 @@ class BoostedModel:
         return data.withColumn("p", score(vector_to_array("features")))
 
 
+def _held(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """x as a matrix and y, read from the shared folder, so that the rows don't pass the driver's JVM."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    path = scratch_path(rows.sparkSession, "boosting")
+    rows.write.parquet(path)
+    system, root = file_system(path)
+    names = sorted(f.path for f in system.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+    x, y = [], []
+    for batch in ds.dataset(names, filesystem=system, format="parquet").to_batches(columns=["x", "y"]):
+        if batch.num_rows:
+            x.append(batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1))
+            y.append(batch.column("y").to_numpy())
+    return (np.concatenate(x), np.concatenate(y)) if x else (np.zeros((0, 1)), np.zeros(0))
+
+
 def boosted(data: DataFrame, label: str = "label", rounds: int = 300, depth: int = 6, rate: float = 0.1, sample: int = SAMPLE_ROWS) -> BoostedModel:
     """A model fitted on data's features and labels; positives weigh as much as there are negatives to one of them."""
     rows = data.select(vector_to_array("features").alias("x"), F.col(label).alias("y"))
     total = data.count()
     if total > sample:  # a little more than the sample by hash, so that no sort of all rows is needed, then cut
         rows = rows.withColumn("_u", F.xxhash64("x")).where(F.pmod("_u", F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * sample / total)) + 1).orderBy("_u").limit(sample)
-    held = rows.select("x", "y").toPandas()
-    x, y = np.stack(held["x"].to_numpy()) if len(held) else np.zeros((0, 1)), held["y"].to_numpy(dtype=float)
+    x, y = _held(rows.select("x", F.col("y").cast("double").alias("y")))
     positives = float((y > 0).sum())
     return BoostedModel(fit(x, y, rounds, depth, rate, (len(y) - positives) / max(positives, 1.0)))

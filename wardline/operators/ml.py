@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from math import pi, sqrt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, StandardScalerModel, VectorAssembler
@@ -69,9 +70,14 @@ def fourier_features(data: DataFrame, size: int = 256, gamma: float | None = Non
     g = gamma if gamma is not None else 1.0 / width
     w = rng.normal(scale=sqrt(2 * g), size=(size, width))
     b = rng.uniform(0, 2 * pi, size)
-    x = vector_to_array("scaled")
-    dots = [F.cos(F.aggregate(F.zip_with(x, F.array(*map(F.lit, row.tolist())), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v) + float(off)) * sqrt(2 / size) for row, off in zip(w, b)]
-    return scaler.transform(data).withColumn("fourier", array_to_vector(F.array(*dots))).drop("scaled")
+
+    @F.arrow_udf("array<double>")
+    def mapped(vectors: pa.Array) -> pa.Array:
+        x = vectors.flatten().to_numpy().reshape(-1, width)
+        cosines = np.cos(x @ w.T + b) * sqrt(2 / size)
+        return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * size, cosines.ravel())
+
+    return scaler.transform(data).withColumn("fourier", array_to_vector(mapped(vector_to_array("scaled")))).drop("scaled")
 
 
 def _scaler(data: DataFrame) -> StandardScalerModel:
@@ -94,14 +100,14 @@ class KernelSvm:
 
     def probabilities(self, data: DataFrame) -> DataFrame:
         """data with p, the probability of label 1."""
-        one = self.margins(materialised(fourier_features(data, self.size, seed=self.seed, scaler=self.scaler)))
+        one = self.margins(fourier_features(data, self.size, seed=self.seed, scaler=self.scaler))
         return self.calibration.transform(one).withColumn("p", vector_to_array("probability")[1]).drop("m", "margin", "fourier", "probability", "rawPrediction", "prediction")
 
 
 def kernel_machine(data: DataFrame, label: str = "label", size: int = 256, seed: int = 42) -> KernelSvm:
     """A linear machine on Fourier features, its margin calibrated by a logistic regression."""
     scaler = _scaler(data)
-    mapped = materialised(fourier_features(data, size, seed=seed, scaler=scaler))
+    mapped = fourier_features(data, size, seed=seed, scaler=scaler)  # cheaper to make again than to write
     machine = LinearSVC(featuresCol="fourier", labelCol=label, weightCol="weight", maxIter=50, regParam=0.001).fit(mapped)
     svm = KernelSvm(scaler, machine, None, size, seed)
     svm.calibration = LogisticRegression(featuresCol="m", labelCol=label, weightCol="weight").fit(svm.margins(mapped))
