@@ -445,6 +445,42 @@ def test_overlap_where_openings_are_shared(spark):
     assert overlap_pairs(spark, rows) == want and len(want) >= 40
 
 
+def test_a_piece_stands_in_every_text_that_is_like_a_record():
+    rng = random.Random(17)
+    for m in (2, 4, 5, 9, 25, 40, 101, 230):
+        record = [f"w{i}" for i in range(m)]
+        index = overlap.Index([(0, 0, " ".join(record))])
+        spans = [(int(p), int(p + d)) for p, d in zip(index.at, index.apart)]
+        assert len(spans) == overlap.pieces(m) and len({i for p, q in spans for i in range(p, q + 1)}) == sum(q - p + 1 for p, q in spans)
+        for _ in range(40):
+            # As many words lost and added as may be, preferably where they spoil pieces.
+            lost = {rng.choice(range(p, q + 1)) for p, q in rng.sample(spans, min(len(spans), m - overlap.required(m)))}
+            text = [w for i, w in enumerate(record) if i not in lost]
+            while len(text) < m:
+                j = rng.randrange(len(text))
+                text[j:j] = [f"x{len(text)}y{k}" for k in range(min(m - len(text), overlap.GAP + 1))]
+            found = list(overlap.Scanner(index).matches(overlap.Block([(1, 1, " ".join(text))]), 0, 1))
+            assert [(t, r) for t, r, _, _ in found] == [(0, 0)] and found[0][3] == (m - len(lost)) / m
+
+
+def test_overlap_looks_at_few_records_where_templates_are_shared(monkeypatch):
+    rng = random.Random(23)
+    fixed = [[f"t{k}f{i}" for i in range(16)] for k in range(8)]
+    sentence = lambda k: [f"s{rng.randrange(40)}k{k}" if i % 2 else w for i, w in enumerate(fixed[k])]
+    draw = lambda: " ".join(w for k in rng.choices(range(8), k=3) for w in sentence(k))
+    records, texts = [draw() for _ in range(4000)], [draw() for _ in range(300)]
+    seen, entries = [], overlap.Scanner._near
+    monkeypatch.setattr(overlap.Scanner, "_near", lambda *a: seen.append(int(a[-1].sum())) or entries(*a))
+    list(overlap.Scanner(overlap.Index([(i, i, w) for i, w in enumerate(records)])).matches(overlap.Block([(i, i, w) for i, w in enumerate(texts)]), 0, len(texts)))
+    assert sum(seen) < 0.12 * len(records) * len(texts)  # lists of neighbouring words had 0.26 of all pairs
+
+
+def test_overlap_of_texts_of_one_word_again_and_again(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "STRETCH_PAIRS", 50)
+    rows = [(i, ["ha"] * m, "train" if i % 2 else "test") for i, m in enumerate((3, 4, 5, 6, 10, 12, 60, 70, 250, 300, 301, 2))]
+    assert overlap_pairs(spark, rows) == brute_force(rows)
+
+
 def test_overlap_coverage(spark):
     text = [f"w{i}" for i in range(40)]
     rows = [(1, text, "test", "a"), (2, text, "train", "a"), (3, text[:20] + ["x"] + text[21:34], "train", "a"), (4, text[2:], "val", "b"), (5, ["solo"], "val", "b"), (6, ["Solo!"], "train", "b")]
