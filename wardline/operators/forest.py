@@ -231,8 +231,8 @@ class Forest:
         return data.withColumn("p", score(vector_to_array("features")))
 
 
-def _cuts(vectors: DataFrame, width: int) -> list[np.ndarray]:
-    """Per feature the values between bins: all of a few, quantiles of many."""
+def _cuts(vectors: DataFrame, width: int, bins: int = BINS) -> list[np.ndarray]:
+    """Per feature the values between bins: all of a few, quantiles of many, over all rows."""
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[np.ndarray | None] = [np.zeros(0)] * width
@@ -241,14 +241,14 @@ def _cuts(vectors: DataFrame, width: int) -> list[np.ndarray]:
             for f in range(width):
                 if seen[f] is not None:
                     s = np.unique(np.concatenate((seen[f], x[:, f])))
-                    seen[f] = s if len(s) <= BINS else None
+                    seen[f] = s if len(s) <= bins else None
         yield pa.RecordBatch.from_pydict({"f": pa.array(range(width), pa.int32()), "values": pa.array([None if s is None else s.tolist() for s in seen], pa.list_(pa.float64()))})
 
     few: list[set | None] = [set() for _ in range(width)]
-    for r in vectors.select("x").mapInArrow(kinds, "f int, values array<double>").collect():  # at most BINS values a feature and task
+    for r in vectors.select("x").mapInArrow(kinds, "f int, values array<double>").collect():  # at most so many values a feature and task
         few[r["f"]] = None if r["values"] is None or few[r["f"]] is None else few[r["f"]] | set(r["values"])
-    many = [f for f in range(width) if few[f] is None or len(few[f]) > BINS]
-    shares = [i / BINS for i in range(1, BINS)]
+    many = [f for f in range(width) if few[f] is None or len(few[f]) > bins]
+    shares = [i / bins for i in range(1, bins)]
     found = vectors.agg(*[F.percentile_approx(F.col("x")[f], shares, 20_000).alias(str(f)) for f in many]).first() if many else {}
     return [np.unique(found[str(f)]) if f in many else np.array(sorted(few[f]))[:-1] for f in range(width)]
 
